@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from terralace.llm.canonical import map_values
 from terralace.llm.cooccurrence import co_occurrence, surprise
+from terralace.llm.leakage import leaks
 from terralace.llm.nearest import nearest_in_time
+from terralace.llm.packing import containers, pack_texts
 from terralace.llm.sql import ORACLE  # noqa: F401
+from terralace.llm.subjects import subject_areas
 from terralace.sources.tables import first_arrivals, small_enough, table, written
 
 TOLERANCE_US = 120_000_000
@@ -85,6 +88,46 @@ def p7_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("label_id = -1").join(counts, "value").select("value", "n_rows")
 
 
+WINDOW = 15
+
+
+def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and test items with their alignment, edited copies included: at least half of the item's score."""
+    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), WINDOW)
+    return found.where("coverage >= 0.5 OR longest_run >= 15").withColumn("coverage", F.round("coverage", 4))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), WINDOW)
+    return found.where(F.col("longest_run") >= WINDOW).select("doc_id", "item_id")
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return containers(p8_packed(spark, d))
+
+
+def p10_mixtures(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_mixtures(spark, d).where("about").select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each subject in the documents: how many are about it, and its part of all subject terms."""
+    mixed = p10_mixtures(spark, d)
+    n = table(spark, d, "documents").count()
+    return mixed.groupBy("subject").agg(
+        F.count_if("about").alias("n_docs"), F.round(F.count_if("about") / F.lit(max(n, 1)), 6).alias("share_of_docs"),
+        F.round(F.sum("weight"), 3).alias("weight"),
+    )
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_nearest": p3_nearest,
@@ -92,4 +135,11 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p7_found": p7_found,
     "p7_unmatched": p7_unmatched,
+    "p8_packed": p8_packed,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_alignments": p9_alignments,
+    "p10_found": p10_found,
+    "p10_mixtures": p10_mixtures,
+    "p10_composition": p10_composition,
 }

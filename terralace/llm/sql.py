@@ -35,8 +35,17 @@ c AS (SELECT value, label_id, levenshtein(form, name) AS errors FROM f, l WHERE
   AND list_bool_and([length(w) >= 3 AND starts_with(string_split(name, ' ')[i], w) FOR w, i IN string_split(form, ' ')])),
 m AS (SELECT value, arg_min(label_id, errors * 100000 + label_id) AS label_id FROM c GROUP BY value)
 """
+_WORDS = r"""regexp_extract_all(lower(replace(replace(regexp_replace(text, '<[^<>]*>', '', 'g'), chr(173), ''), chr(8203), '')), '[\p{L}\p{N}]+')"""
+_P9 = f"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 14], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 13)) AS s FROM i WHERE len(w) >= 15)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, array_to_string(w[s:s + 14], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS s FROM d WHERE len(w) >= 15))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
+"""
 
 ORACLE = {
+    "p9_found": _P9,
     "p3_found": _P3 + "SELECT pairing_id, side, image_id FROM r WHERE k = 1",
     "p3_nearest": _P3 + "SELECT pairing_id, side, image_id, gap_us FROM r WHERE k = 1",
     "p4_found": _P4,
