@@ -9,9 +9,8 @@ TAG = re.compile(r"<[^<>]*>")
 UNSEEN = dict.fromkeys((0x00AD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF))
 WORD = re.compile(r"[^\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
-_END = "(?:\r\n|[\r\n\f  ])"
-#: A passage ends at an empty line, or where a line ends with its sentence.
-PASSAGE = re.compile(rf"{_END}[ \t ]*{_END}\s*|(?<=[.!?。]){_END}\s*")
+#: Passages stand between line ends.
+PASSAGE = re.compile("\\s*[\r\n\f\u2028\u2029]+\\s*")
 
 
 def plain(text: str | None) -> str:
