@@ -2,11 +2,11 @@
 
 One pass over the texts keeps, of each document that shares any run of five words with a test item, its words as
 numbers of the items' vocabulary and the places of the shared runs. From these the document frequency of every run is
-counted over the whole corpus, and of each fifteen-word window of an item the rarest run becomes a seed. Seeds join
-documents to items; Smith-Waterman alignment scores what they find, whole copies and edited ones alike.
+counted over the whole corpus. Rare runs are seeds, and so is the rarest run of each fifteen-word window of an item.
+Seeds join documents to items; Smith-Waterman alignment scores what they find, whole copies and edited ones alike.
 
-Because every window of ``window`` consecutive words holds a seed, no copied window is missed however common its
-other runs are. The test items are the query side: they are stated sets of bounded size, handled in blocks.
+Because every window of ``window`` consecutive words holds a seed, no copied window is missed however common all its
+runs are. The test items are the query side: they are stated sets of bounded size, handled in blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ GRAM = 5
 #: Items handled at a time: their words and runs are sent to every task.
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: A run is rare if it is in at most this share of the documents.
+RARE_SHARE = 0.0002
 #: Words around the place of a seed that belong to the alignment, beyond the item's own length.
 MARGIN = 24
 
@@ -67,9 +69,9 @@ def mix(runs: np.ndarray) -> np.ndarray:
     return h
 
 
-def seeds_of(items: Items, frequency: dict[int, int], window: int) -> set[int]:
-    """The rarest run of every window of every item (of the whole item if it is shorter); ties go to the smaller number."""
-    chosen: set[int] = set()
+def seeds_of(items: Items, frequency: dict[int, int], window: int, rare: float) -> set[int]:
+    """Runs in at most ``rare`` documents, and the rarest run of every window of every item (ties: the smaller number)."""
+    chosen = {r for r, n in frequency.items() if n <= rare}
     for n in items.numbers.values():
         runs = [items.runs[tuple(n[at : at + GRAM].tolist())] for at in range(max(1, len(n) - GRAM + 1))]
         cost = [(frequency.get(r, 0), r) for r in runs]
@@ -164,17 +166,20 @@ def _aligned(items: Items, seeds: set[int]):
     return judge
 
 
-def leaks(documents: DataFrame, items: DataFrame, window: int = 15, block: int = BLOCK_ITEMS) -> DataFrame:
+def leaks(
+    documents: DataFrame, items: DataFrame, window: int = 15, block: int = BLOCK_ITEMS, rare_share: float = RARE_SHARE
+) -> DataFrame:
     """Every document and test item that share a rare run of words, with the alignment of the two.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Result: doc_id, item_id, score (Smith-Waterman: +2 equal
     words, -1 unequal, -1 gap), coverage (score over that of the whole item), longest_run (equal consecutive words),
     doc_end (word of the document after the best alignment) and n_seeds. All pairs that share ``window`` consecutive
-    words are among them. Null and empty texts share nothing; an item shorter than five words is looked for as a whole;
+    words are among them, and all that share a run of five which at most ``rare_share`` of the documents have (or 20). Null and empty texts share nothing; an item shorter than five words is looked for as a whole;
     repeated documents each have their rows; an item repeated under one id counts with its smallest text.
     """
     listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     rows = [(r["item_id"], r["text"]) for r in listed.orderBy("item_id").toLocalIterator()]
+    n_documents = documents.count()
     parts = []
     kind = documents.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
@@ -189,7 +194,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = 15, block: int =
         )
         # at most one row per run of the block's items
         frequency = shared.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").count()
-        seeds = seeds_of(held, {r["run"]: r["count"] for r in frequency.toLocalIterator()}, window)
+        seeds = seeds_of(held, {r["run"]: r["count"] for r in frequency.toLocalIterator()}, window, max(20.0, rare_share * n_documents))
         parts.append(shared.mapInPandas(_aligned(held, seeds), schema))
     out = parts[0]
     for p in parts[1:]:

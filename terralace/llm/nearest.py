@@ -48,7 +48,8 @@ def nearest_in_time(
     rest = written(rest, "unsettled")
     settled = []
     for width in widths:
-        bucket = F.floor(F.col("t_us") / width).cast("long")
+        span = max(1, width)  # a tolerance of zero asks for equal times
+        bucket = F.floor(F.col("t_us") / span).cast("long")
         rows = rest.withColumn("bucket", bucket)
         crowds = written(
             rows.groupBy("key", "bucket").count().where(F.col("count") > hot_rows)
@@ -60,7 +61,7 @@ def nearest_in_time(
         rows = rows.join(crowds, ["key", "bucket"], "left").withColumn(
             "part", F.pmod(F.xxhash64("left_id"), F.coalesce("parts", F.lit(1))).cast("int")
         )
-        near = offers.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("r_us") / width).cast("long") - 1, F.floor(F.col("r_us") / width).cast("long") + 1)))
+        near = offers.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("r_us") / span).cast("long") - 1, F.floor(F.col("r_us") / span).cast("long") + 1)))
         near = near.join(crowds, ["key", "bucket"], "left").withColumn(
             "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
         )

@@ -21,8 +21,9 @@ from terralace.sources.tables import written
 
 #: Labelled documents that seeds are learnt from, at most (those with the smallest hashes of their ids).
 MOST_LABELLED = 200_000
-#: A term anchors if it is in this many labelled documents, and this many times as often under a subject as expected.
-LEAST_DOCUMENTS, LEAST_LIFT = 4, 4.0
+#: A term anchors if it is in this many labelled documents, and this many times as often under a subject as expected;
+#: where subjects are so few that this cannot be, with this part of its documents.
+LEAST_DOCUMENTS, LEAST_LIFT, LEAST_PURITY = 4, 4.0, 0.5
 ROUNDS, INNER, LAST = 2, 4, 8
 PRIOR = 1.0
 #: A passage is about a subject from this many of its terms, and this share of all its subject terms.
@@ -78,7 +79,9 @@ def anchors(counts: DataFrame, subjects: list[str]) -> tuple[list[str], np.ndarr
             seen[place[s], number[t]] += w
             expected[:, number[t]] += w * base[lang]
     lift = (seen + 0.5 * expected / np.maximum(expected.sum(0), 1e-9)) / np.maximum(expected * (1 + 0.5 / np.maximum(expected.sum(0), 1e-9)), 1e-9)
-    kept = lift.max(0) >= LEAST_LIFT if len(terms) else np.zeros(0, bool)
+    common = sum((base[lang] * group["weight"].sum() for lang, group in whole.groupby("lang")), np.zeros(len(subjects)))
+    bound = np.minimum(LEAST_LIFT, LEAST_PURITY * common.sum() / np.maximum(common, 1e-9))
+    kept = (lift >= bound[:, None]).any(0) if len(terms) else np.zeros(0, bool)
     tie = np.where(expected > 0, seen / np.maximum(expected, 1e-9), 0)[:, kept]
     return [t for t, k in zip(terms, kept) if k], tie / np.maximum(tie.sum(0), 1e-9)
 
