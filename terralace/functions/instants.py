@@ -35,7 +35,7 @@ HALF = r"(?:\s*(?P<ap>[AaPp])\.?[Mm]\.?)?"
 NOTATIONS = [
     (name, re.compile(pattern))
     for name, pattern in (
-        ("number", r"(?P<n>[+-]?\d+)(?:\.(?P<nf>\d+))?"),
+        ("number", r"(?P<n>[+-]?\d{1,24})(?:\.(?P<nf>\d+))?"),
         ("iso", rf"(?P<y>\d{{4}})(?P<sep>[-/.:])(?P<mo>\d{{1,2}})(?P=sep)(?P<d>\d{{1,2}})(?:[T ]\s*{CLOCK}{HALF})?{ZONE}"),
         ("compact", rf"(?P<y>\d{{4}})(?P<mo>\d{{2}})(?P<d>\d{{2}})[T ](?P<h>\d{{2}})(?P<mi>\d{{2}})(?:(?P<s>\d{{2}})(?:[.,](?P<f>\d+))?)?{ZONE}"),
         ("week", rf"(?P<y>\d{{4}})-?W(?P<w>\d{{2}})-?(?P<wd>\d)(?:[T ]{CLOCK})?{ZONE}"),

@@ -60,6 +60,7 @@ def region_pieces(regions: DataFrame) -> DataFrame:
         F.when(free, F.col("lon") - reach / 2).otherwise(999.0).alias("i_w"),
         F.when(free, F.col("lon") + reach / 2).otherwise(-999.0).alias("i_e"),
     )
+    regions = regions.where("region_id IS NOT NULL")
     full = "lat_min IS NOT NULL AND lat_max IS NOT NULL AND lon_min IS NOT NULL AND lon_max IS NOT NULL"
     east = F.when(F.col("lon_min") > F.col("lon_max"), F.col("lon_max") + 360).otherwise(F.col("lon_max"))
     box = regions.where(f"shape = 'box' AND {full}").select(
@@ -148,27 +149,28 @@ def dual_tree_pairs(points: DataFrame, pieces: DataFrame, leaf: int = LEAF) -> D
 def points_in_regions(points: DataFrame, regions: DataFrame, sample_of: DataFrame | None = None, leaf: int = LEAF) -> DataFrame:
     """Every (point, region) with the point in the region: the columns of ``points`` and region_id.
 
-    ``points``: lat, lon and any other columns; points without usable coordinates are in no region. ``regions``: see
-    region_pieces. Circle: great-circle distance of at most radius_m. Box: within the bounds, edges included; lon_min >
+    A column region_id that the points have themselves is left out. ``points``: lat, lon and any other
+    columns; points without usable coordinates are in no region. ``regions``: see region_pieces; null ids are none. Circle: great-circle distance of at most radius_m. Box: within the bounds, edges included; lon_min >
     lon_max crosses the 180th meridian. ``sample_of``: optionally a cheaper table with (at least) the same lat, lon to
     build the nodes from. Repeated points give repeated rows. Either side may be empty.
     """
-    good = points.where(usable(F.col("lat"), F.col("lon")))
+    # the row travels as one column, so that its names cannot clash
+    kept = [F.col(f"`{c}`") for c in points.columns if c.lower() != "region_id"]
+    good = points.where(usable(F.col("lat"), F.col("lon"))).select(F.struct(*kept).alias("row"), "lat", "lon")
     shape = (sample_of if sample_of is not None else points).select("lat", "lon")
     shape = shape.where(usable(F.col("lat"), F.col("lon")))
     pairs = written(dual_tree_pairs(shape, region_pieces(regions), leaf), "leaf-pairs")
-    keyed = good.select("*", *[c.alias(f"cell_{a}") for a, c in zip("xy", _cell(F.col("lat"), F.col("lon"), leaf))])
-    pairs = pairs.withColumnsRenamed({"x": "cell_x", "y": "cell_y"})
+    keyed = good.select("*", *_cell(F.col("lat"), F.col("lon"), leaf))
     # leaf pairs are bounded by regions times leaves; only a checked size is broadcast, else both sides are shuffled
     side = F.broadcast(pairs) if small_enough(pairs) else pairs
-    joined = keyed.join(side, ["cell_x", "cell_y"])
+    joined = keyed.join(side, ["x", "y"])
     near = great_circle_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= F.col("r_radius_m")
     across = F.when(
         F.col("r_lon_min") > F.col("r_lon_max"), (F.col("lon") >= F.col("r_lon_min")) | (F.col("lon") <= F.col("r_lon_max"))
     ).otherwise(F.col("lon").between(F.col("r_lon_min"), F.col("r_lon_max")))
     inside = F.col("lat").between(F.col("r_lat_min"), F.col("r_lat_max")) & across
     hit = F.col("sure") | F.when(F.col("shape") == "circle", near).otherwise(inside)
-    return joined.where(hit).select(*points.columns, "region_id")
+    return joined.where(hit).select("row.*", "region_id")
 
 
 def grid_join(left: DataFrame, right: DataFrame, radius: float, on: list[str] = []) -> DataFrame:  # noqa: B006

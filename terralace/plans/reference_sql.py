@@ -62,7 +62,7 @@ ORACLE = {
     "meta_parse": """WITH x AS (SELECT DISTINCT * FROM image_meta),
       p AS (SELECT coalesce(source_type, 'satellite') AS source_type, image_file, lat_center, lon_center,
         try_cast(CASE WHEN regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?)?') THEN t END AS TIMESTAMP) AS captured_at
-        FROM (SELECT *, replace(regexp_replace(trim(capture_time), '(Z|[+-][0-9]{2}:?[0-9]{2})$', ''), 'T', ' ') AS t FROM x))
+        FROM (SELECT *, replace(regexp_replace(trim(capture_time, ' '), '(Z|[+-][0-9]{2}:?[0-9]{2})$', ''), 'T', ' ') AS t FROM x))
       SELECT source_type, image_file IS NOT NULL AND lat_center IS NOT NULL AND lon_center IS NOT NULL AND captured_at IS NOT NULL AS valid, count(*) AS n, max(captured_at) AS latest FROM p GROUP BY 1, 2""",
     "file_groups": """WITH f AS (SELECT DISTINCT replace(regexp_replace(image_path, '^frames/', '') || '_' || coalesce(source_type, 'none'), '/', '_') AS name FROM image_records WHERE image_path IS NOT NULL)
       SELECT array_to_string(string_split(name, '_')[1:2], '_') AS stem, count(*) AS n_files FROM f GROUP BY 1 HAVING count(*) >= 2""",

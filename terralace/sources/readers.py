@@ -11,13 +11,13 @@ META_KEYS = {
     "lat_min": "double", "lat_max": "double", "lon_min": "double", "lon_max": "double", "resolution_m": "double", "sensor_platform": "string",
 }
 # Fixed value: the ISO-8601 texts that metadata may use; an offset behind them is stripped, not applied.
-ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?)?$"
+ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?)?\\z"
 REQUIRED = ("image_file", "capture_time", "lat_center", "lon_center")
 
 
 def with_defaults(entries: DataFrame) -> DataFrame:
     """Metadata entries with parsed times and defaults, and whether they are ``valid`` (all required keys, a time)."""
-    wall = F.regexp_replace(F.regexp_replace(F.trim("capture_time"), "(Z|[+-][0-9]{2}:?[0-9]{2})$", ""), "T", " ")
+    wall = F.regexp_replace(F.regexp_replace(F.trim("capture_time"), "(Z|[+-][0-9]{2}:?[0-9]{2})\\z", ""), "T", " ")
     at = F.when(wall.rlike(ISO), F.try_to_timestamp(wall))
     rows = entries.withColumn("captured_at", at.cast("timestamp_ntz")).withColumn("source_type", F.coalesce("source_type", F.lit("satellite")))
     needed = [F.col(k).isNotNull() for k in REQUIRED if k != "capture_time"] + [F.col("captured_at").isNotNull()]
