@@ -23,7 +23,7 @@ from terralace.sources.tables import written
 MOST_LABELLED = 200_000
 #: A term anchors if it is in this many labelled documents, and this many times as often under a subject as expected;
 #: where subjects are so few that this cannot be, with this part of its documents.
-LEAST_DOCUMENTS, LEAST_LIFT, LEAST_PURITY = 4, 4.0, 0.5
+LEAST_DOCUMENTS, LEAST_LIFT, LEAST_PURITY, LEAST_DEVIATIONS = 4, 4.0, 0.5, 3.0
 ROUNDS, INNER, LAST = 2, 4, 8
 PRIOR = 1.0
 #: A passage is about a subject from this many of its terms, and this share of all its subject terms.
@@ -81,7 +81,8 @@ def anchors(counts: DataFrame, subjects: list[str]) -> tuple[list[str], np.ndarr
     lift = (seen + 0.5 * expected / np.maximum(expected.sum(0), 1e-9)) / np.maximum(expected * (1 + 0.5 / np.maximum(expected.sum(0), 1e-9)), 1e-9)
     common = sum((base[lang] * group["weight"].sum() for lang, group in whole.groupby("lang")), np.zeros(len(subjects)))
     bound = np.minimum(LEAST_LIFT, LEAST_PURITY * common.sum() / np.maximum(common, 1e-9))
-    kept = (lift >= bound[:, None]).any(0) if len(terms) else np.zeros(0, bool)
+    clear = seen - expected >= LEAST_DEVIATIONS * np.sqrt(expected)  # no chance finding among the many terms
+    kept = ((lift >= bound[:, None]) & clear).any(0) if len(terms) else np.zeros(0, bool)
     tie = np.where(expected > 0, seen / np.maximum(expected, 1e-9), 0)[:, kept]
     return [t for t, k in zip(terms, kept) if k], tie / np.maximum(tie.sum(0), 1e-9)
 
@@ -148,6 +149,10 @@ def fit(matrix: DataFrame, tie: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
                 if len(batch):
                     terms, starts, _ = _stacked(batch)
                     _, q = mixtures(terms, starts, now, INNER)
+                    # a term that a passage repeats counts once, so that no long text bends a component
+                    passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(terms)]))))
+                    _, place, times = np.unique(passage * n_terms + terms, return_inverse=True, return_counts=True)
+                    q /= times[place][:, None]
                     for s in range(n_subjects):
                         total[:, s] += np.bincount(terms, q[:, s], n_terms)
             t, s = np.nonzero(total)
