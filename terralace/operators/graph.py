@@ -42,7 +42,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b): node, component (the smallest node of the component).
 
     Alternates large-star and small-star steps, which need a number of rounds that grows with the logarithm of the
-    longest path, until nothing changes. Each round is written to the shared folder. Repeated edges and loops are fine;
+    longest path, until every component is a star. Each round is written to the shared folder. Repeated edges and loops are fine;
     edges with a null end are dropped. No edge gives an empty result.
     """
     both = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
@@ -57,10 +57,11 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         large = written(large, "large-star")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.withColumnRenamed("m", "v"))
-        small = written(small.where("u <> v").distinct(), "small-star")
-        changed = not small.exceptAll(pairs).isEmpty() or not pairs.exceptAll(small).isEmpty()
-        pairs = small
-        if not changed:
+        pairs = written(small.where("u <> v").distinct(), "small-star")
+        # done when all components are stars: every node has one centre, and no centre has one itself
+        twice = pairs.groupBy("u").count().where("count > 1")
+        chained = pairs.join(pairs.select(F.col("v").alias("u")), "u", "left_semi")
+        if twice.isEmpty() and chained.isEmpty():
             break
     else:
         raise RuntimeError(f"components not settled after {limit} rounds")

@@ -47,15 +47,24 @@ def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.regexp_replace(F.substring(text, 1, n), " [^ ]*$", ""), F.lit("..."))).otherwise(text)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
+#: Queries that are sent to every task at a time.
+BLOCK_QUERIES = 4096
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = BLOCK_QUERIES) -> DataFrame:
     """The ``k`` vectors of largest inner product for each query: query_id, vec_id, score, place.
 
-    ``queries``: query_id, q; ``vectors``: vec_id, v. A query doesn't find itself. Exact: the queries are a stated set,
-    sent to every task in blocks by the caller; each task keeps its best ``k`` per query before anything is shuffled.
+    ``queries``: query_id, q; ``vectors``: vec_id, v. A query doesn't find itself. Exact, ties go to the smaller vec_id.
+    The queries are a stated set and go through in blocks of a bounded size, each block to every task; a task keeps its
+    best ``k`` per query (a group limit below the shuffle of the window) before anything is moved.
     """
-    scored = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
-    order = [F.desc("score"), "vec_id"]
-    # first the best of each (query, part), without moving vectors; then the best of these
-    part = Window.partitionBy("query_id", "part").orderBy(*order)
-    local = scored.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(16))).withColumn("place", F.row_number().over(part)).where(F.col("place") <= k)
-    return local.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k).drop("part")
+    n_blocks = max(1, -(-queries.count() // block))
+    out = None
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    for b in range(n_blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else queries
+        score = F.round(dot(F.col("q"), F.col("v")), 6).alias("score")
+        scored = vectors.join(F.broadcast(part), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", score)
+        top = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out

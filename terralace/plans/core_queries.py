@@ -139,6 +139,18 @@ QUERIES = {
     "p6_found": p6_found,
 }
 
+# The reference list of classes, for the SQL that p2_features is compared with (the query reads the table).
+_CLASSES = """
+cargo ship, container ship, oil tanker, fishing boat, ferry, tugboat, barge, sailing yacht, dredger, passenger
+jet, propeller aircraft, helicopter, glider, runway, taxiway, hangar, control tower, passenger car, pickup
+truck, delivery van, articulated lorry, bus, tractor, combine harvester, excavator, bulldozer, concrete mixer,
+motorcycle, locomotive, freight wagon, tram, warehouse, apartment block, detached house, greenhouse, grain
+silo, storage tank, water tower, wind turbine, solar array, power pylon, substation, cooling chimney, bridge,
+overpass, roundabout, tower crane, gantry crane, pier, breakwater, lighthouse, dam, sluice gate, fish pond,
+quarry, gravel heap, landfill, stadium, tennis court, playground
+"""
+_TYPES = [f"{s}:{c}" for s in STATUSES for c in ("_".join(c.split()) for c in (*_CLASSES.split(","), "unknown object"))]
+
 _BARE = "replace(replace(replace(CASE WHEN starts_with(lower(trim({0})), 'urn:uuid:') THEN substr(lower(trim({0})), 10) ELSE lower(trim({0})) END, '{{', ''), '}}', ''), '-', '')"
 _P1 = f"""
 WITH det AS (SELECT id, arg_min(image_id, ingestion_time) AS image_id, min(ingestion_time) AS t FROM detection_records GROUP BY id),
@@ -188,5 +200,11 @@ ORACLE = {
     UNION ALL SELECT DISTINCT id, 'first_seen' FROM j WHERE fs IS DISTINCT FROM f""",
     "p2_event_totals": _P2
     + "SELECT entity_id, event_type, count(*) AS n, min(t) AS first_time, max(t) AS last_time FROM x GROUP BY 1, 2",
+    "p2_features": _P2
+    + """, n AS (SELECT max(pairing_time) AS now FROM pairing_records)
+    SELECT entity_id, count(*) AS n_links, min(t) AS first_time, max(t) AS last_time,
+    round((epoch_us((SELECT now FROM n)) - epoch_us(max(t))) / 86400000000, 4) AS recency_days, """
+    + ", ".join(f"""count(*) FILTER (event_type = '{t}') AS "{t}\"""" for t in _TYPES)
+    + " FROM x GROUP BY 1",
     "p6_found": _P6,
 }

@@ -111,7 +111,10 @@ def test_vectors(spark):
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     unit = {r["vec_id"]: r["v"] for r in v.collect()}
     assert all(abs(sum(x * x for x in u) - 1) < 1e-9 for u in unit.values())
-    got = {(r["query_id"], r["place"]): r["vec_id"] for r in vector_top_k(q, v, 3).collect()}
+    top = vector_top_k(q, v, 3)
+    assert "WindowGroupLimit" in top._jdf.queryExecution().toString()
+    got = {(r["query_id"], r["place"]): r["vec_id"] for r in top.collect()}
+    assert sorted(map(tuple, vector_top_k(q, v, 3, block=1).collect())) == sorted(map(tuple, top.collect()))
     for i in (0, 20, 40):
         order = sorted((j for j in unit if j != i), key=lambda j: (-round(sum(a * b for a, b in zip(unit[i], unit[j])), 6), j))[:3]
         assert [got[i, k] for k in (1, 2, 3)] == order
