@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralace.operators.grouped import map_groups
+
 BOX = ["x1", "y1", "x2", "y2"]
 EPS = 1e-6
 
@@ -29,52 +29,61 @@ def tiles(frames: DataFrame, size: int = 1008, overlap: int = 400) -> DataFrame:
     )
 
 
-def _overlaps(box: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """IoU and IoMin of one box with others."""
-    w = np.clip(np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0]), 0, None)
-    h = np.clip(np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1]), 0, None)
-    inter = w * h
-    size = lambda b: np.clip(b[..., 2] - b[..., 0], 0, None) * np.clip(b[..., 3] - b[..., 1], 0, None)
-    a, b = size(box), size(others)
-    return inter / (a + b - inter + EPS), inter / (np.minimum(a, b) + EPS)
+def suppress(iou: float, iomin: float | None):
+    """The rule for the boxes of a frame by falling score: kept unless one that is kept overlaps by more than a threshold."""
+
+    def rule(rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple] = []
+        for row in rows:
+            x1, y1, x2, y2 = row[4:8]
+            size = max(0.0, x2 - x1) * max(0.0, y2 - y1)
+            for other in kept:
+                w = min(x2, other[6]) - max(x1, other[4])
+                h = min(y2, other[7]) - max(y1, other[5])
+                if w > 0 and h > 0:
+                    theirs = max(0.0, other[6] - other[4]) * max(0.0, other[7] - other[5])
+                    if w * h / (size + theirs - w * h + EPS) > iou or (iomin is not None and w * h / (min(size, theirs) + EPS) > iomin):
+                        break
+            else:
+                kept.append(row)
+        return kept
 
+    return rule
 
-def suppress(group: pd.DataFrame, iou: float, iomin: float | None) -> pd.DataFrame:
-    """Keep boxes by falling score (ties: smaller id) unless they overlap a kept one by more than a threshold."""
-    rows = group.sort_values(["score", "box_id"], ascending=[False, True], kind="stable")
-    boxes = rows[BOX].to_numpy(float)
-    kept: list[int] = []
-    for i in range(len(rows)):
-        u, m = _overlaps(boxes[i], boxes[kept]) if kept else (np.zeros(0), np.zeros(0))
-        if not ((u > iou).any() or (iomin is not None and (m > iomin).any())):
-            kept.append(i)
-    return rows.iloc[kept]
+
+SCHEMA = "frame_id string, box_id string, label string, score double, x1 double, y1 double, x2 double, y2 double"
+_COLUMNS = ["frame_id", "box_id", "label", "score", *BOX]
 
 
 def nms(boxes: DataFrame, iou: float = 0.3, iomin: float | None = 0.5) -> DataFrame:
-    """Greedy suppression in each frame, over all classes.
+    """Greedy suppression in each frame, over all classes; ties of the score go to the smaller box_id.
 
-    ``boxes``: frame_id, box_id, label, score, x1..y2, and no other columns. A frame's boxes are one group: a frame is
-    an image, so its boxes are bounded. Rows with a null number are dropped.
+    ``boxes``: frame_id, box_id, label, score, x1..y2. A frame is an image, which bounds its boxes. Rows with a null
+    number are dropped.
     """
-    good = boxes.dropna(subset=["score", *BOX])
-    return good.groupBy("frame_id").applyInPandas(lambda g: suppress(g, iou, iomin), boxes.schema)
-
-
-def _merge(group: pd.DataFrame, joins, together) -> pd.DataFrame:
-    """Merge pairs of one label, first pair first, until none is left."""
-    rows = group.sort_values(["label", "box_id"], kind="stable").to_dict("records")
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(rows)):
-            j = next((j for j in range(i + 1, len(rows)) if rows[i]["label"] == rows[j]["label"] and joins(rows[i], rows[j])), None)
-            if j is not None:
-                rows[i] = together(rows[i], rows[j])
-                del rows[j]
-                changed = True
-                break
-    return pd.DataFrame(rows, columns=group.columns)
+    good = boxes.dropna(subset=["score", *BOX]).select(*_COLUMNS)
+    return map_groups(good, ["frame_id"], [F.desc("score"), "box_id"], SCHEMA, suppress(iou, iomin))
+
+
+def _merge(boxes: DataFrame, joins, together) -> DataFrame:
+    """Merge pairs of one label in a frame, first pair first, until none is left."""
+
+    def rule(group: list[tuple]) -> list[tuple]:
+        rows = [dict(zip(_COLUMNS, r)) for r in group]
+        changed = True
+        while changed:
+            changed = False
+            for i in range(len(rows)):
+                j = next((j for j in range(i + 1, len(rows)) if joins(rows[i], rows[j])), None)
+                if j is not None:
+                    rows[i] = together(rows[i], rows[j])
+                    del rows[j]
+                    changed = True
+                    break
+        return [tuple(r[c] for c in _COLUMNS) for r in rows]
+
+    good = boxes.dropna(subset=["score", *BOX]).withColumn("label", F.lower("label")).select(*_COLUMNS)
+    return map_groups(good, ["frame_id", "label"], ["box_id"], SCHEMA, rule)
 
 
 def _size(b: dict) -> float:
@@ -91,8 +100,7 @@ def merge_contained(boxes: DataFrame, iomin: float = 0.99) -> DataFrame:
     def together(a: dict, b: dict) -> dict:
         return {**(a if _size(a) >= _size(b) else b), "score": max(a["score"], b["score"])}
 
-    good = boxes.dropna(subset=["score", *BOX]).withColumn("label", F.lower("label"))
-    return good.groupBy("frame_id").applyInPandas(lambda g: _merge(g, joins, together), good.schema)
+    return _merge(boxes, joins, together)
 
 
 def merge_adjacent(boxes: DataFrame, gap: float = 5.0) -> DataFrame:
@@ -109,8 +117,7 @@ def merge_adjacent(boxes: DataFrame, gap: float = 5.0) -> DataFrame:
             "score": max(a["score"], b["score"]),
         }
 
-    good = boxes.dropna(subset=["score", *BOX]).withColumn("label", F.lower("label"))
-    return good.groupBy("frame_id").applyInPandas(lambda g: _merge(g, joins, together), good.schema)
+    return _merge(boxes, joins, together)
 
 
 def multi_scale(scales: list[DataFrame], gap: float = 5.0) -> DataFrame:

@@ -4,25 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralace.functions.geometry import euclid, in_extent
+from terralace.operators.grouped import map_groups
 from terralace.sources.tables import written
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    rows = group.sort_values(["score", "left_id", "right_id"], ascending=[False, True, True], kind="stable")
-    left, right, kept = set(), set(), []
-    for i, (a, b) in enumerate(zip(rows["left_id"], rows["right_id"])):
-        if a not in left and b not in right:
-            left.add(a)
-            right.add(b)
-            kept.append(i)
-    return rows.iloc[kept]
-
-
 def greedy_match(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
     """One-to-one pairs by falling score; ties go to the smaller left_id, then right_id.
 
@@ -31,7 +20,19 @@ def greedy_match(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
     are not bounded.
     """
     rows = candidates.select(*group, "left_id", "right_id", "score").dropna(subset=["left_id", "right_id", "score"])
-    return rows.groupBy(*group).applyInPandas(_greedy, rows.schema)
+    n = len(group)
+
+    def rule(ranked: list[tuple]) -> list[tuple]:
+        left, right, kept = set(), set(), []
+        for row in ranked:
+            if row[n] not in left and row[n + 1] not in right:
+                left.add(row[n])
+                right.add(row[n + 1])
+                kept.append(row)
+        return kept
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return map_groups(rows, group, [F.desc("score"), "left_id", "right_id"], schema, rule)
 
 
 def match_in_rounds(candidates: DataFrame, group: Sequence[str], rounds: int = 1000) -> DataFrame:

@@ -82,6 +82,14 @@ def first_arrivals(df: DataFrame, key: str, time: str, keep: list[str]) -> DataF
     return best.select(key, F.col(f"first.{time}").alias(time), *[F.col(f"first.{c}").alias(c) for c in keep])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Enough partitions for all cores where a few small files give fewer; all other plans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def month_of(time: Column) -> Column:
     """yyyy-MM of a timestamp."""
     return F.date_format(time, "yyyy-MM")
