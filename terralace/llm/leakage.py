@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralace.llm.words import words
-from terralace.sources.tables import written
+from terralace.sources.tables import spread, written
 
 GRAM = 5
 #: Items handled at a time: their words and runs are sent to every task.
@@ -180,6 +180,7 @@ def leaks(
     listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     rows = [(r["item_id"], r["text"]) for r in listed.orderBy("item_id").toLocalIterator()]
     n_documents = documents.count()
+    texts = spread(documents.select("doc_id", "text"), "doc_id")
     parts = []
     kind = documents.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
@@ -187,7 +188,7 @@ def leaks(
     for at in range(0, max(1, len(rows)), block):
         held = Items(rows[at : at + block])
         shared = written(
-            documents.select("doc_id", "text").mapInPandas(
+            texts.mapInPandas(
                 _shared(held), f"doc_id {kind}, numbers array<int>, runs array<int>, places array<int>"
             ),
             "shared-runs",

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terralace.llm.words import passages
-from terralace.sources.tables import written
+from terralace.sources.tables import spread, written
 
 #: Labelled documents that seeds are learnt from, at most (those with the smallest hashes of their ids).
 MOST_LABELLED = 200_000
@@ -107,7 +107,7 @@ def compact(documents: DataFrame, terms: list[str]) -> DataFrame:
                     out.append((doc, held, ends))
             yield pd.DataFrame(out, columns=["doc_id", "terms", "ends"])
 
-    return documents.select("doc_id", "text").mapInPandas(scan, f"doc_id {kind}, terms array<int>, ends array<int>")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(scan, f"doc_id {kind}, terms array<int>, ends array<int>")
 
 
 def _stacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
