@@ -3,17 +3,44 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
+import site
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this library, once per Spark application.
+
+    Nothing is done where they find it themselves: installed, on PYTHONPATH, or in the working directory.
+    """
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parents[1]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages(), site.getusersitepackages()]
+    if context.applicationId in _SHIPPED or str(package.parent) in {os.path.realpath(k) for k in known if k}:
+        return
+    _SHIPPED.add(context.applicationId)
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    path = Path(tempfile.mkdtemp(prefix="terralace-")) / "terralace.zip"  # on the driver; Spark hands it out from there
+    path.write_bytes(held.getvalue())
+    context.addPyFile(str(path))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of a data folder (``<folder>/<name>.parquet``, a file or a directory)."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -41,6 +68,7 @@ def written(df: DataFrame, name: str = "cut") -> DataFrame:
     planner. The files are removed when the driver's Python ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _WRITTEN:
