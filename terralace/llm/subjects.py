@@ -23,7 +23,7 @@ from terralace.sources.tables import spread, written
 MOST_LABELLED = 200_000
 #: A term anchors if it is in this many labelled documents, and this many times as often under a subject as expected;
 #: where subjects are so few that this cannot be, with this part of its documents.
-LEAST_DOCUMENTS, LEAST_LIFT, LEAST_PURITY, LEAST_DEVIATIONS = 4, 4.0, 0.5, 3.0
+LEAST_DOCUMENTS, LEAST_LIFT, LEAST_PURITY, LEAST_DEVIATIONS = 2, 4.0, 0.5, 3.0
 ROUNDS, INNER, LAST = 2, 4, 8
 PRIOR = 1.0
 #: A passage is about a subject from this many of its terms, and this share of all its subject terms.
