@@ -15,6 +15,8 @@ from terralace.sources.tables import written
 
 #: Left rows of one (key, bucket) beyond which the bucket is spread over several tasks.
 HOT_ROWS = 200_000
+#: Right rows that a bucket of the first ring may hold; where some bucket holds more, finer rings come first.
+MOST_OFFERS = 10_000
 
 
 def rings(tolerance_us: int, first_us: int) -> list[int]:
@@ -27,9 +29,16 @@ def rings(tolerance_us: int, first_us: int) -> list[int]:
     return [*widths, tolerance_us]
 
 
+def _largest(offers: DataFrame, width: int) -> int:
+    """Right rows in the fullest bucket."""
+    counts = offers.groupBy("key", F.floor(F.col("r_us") / width)).count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
 def nearest_in_time(
-    left: DataFrame, right: DataFrame, tolerance_us: int, first_us: int | None = None, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, tolerance_us: int, first_us: int | None = None, hot_rows: int = HOT_ROWS,
+    most_offers: int = MOST_OFFERS,
+) -> DataFrame:
     """Pair each left row with the right row of the same key that is nearest in time, if within the tolerance.
 
     ``left``: left_id, key, t_us (long, microseconds). ``right``: right_id, key, t_us. Result: left_id, right_id,
@@ -37,7 +46,6 @@ def nearest_in_time(
     then the smaller id. Rows with a null key, time or id take no part; right rows repeated at one instant count once;
     left rows repeated with the same id, key and time count once. Other columns are ignored.
     """
-    widths = rings(tolerance_us, first_us or max(1, tolerance_us // 16))
     rest = left.where("left_id IS NOT NULL AND key IS NOT NULL AND t_us IS NOT NULL").select("left_id", "key", "t_us")
     offers = written(
         right.where("right_id IS NOT NULL AND key IS NOT NULL AND t_us IS NOT NULL")
@@ -46,6 +54,10 @@ def nearest_in_time(
         "offers",
     )
     rest = written(rest, "unsettled")
+    first = first_us or max(1, tolerance_us // 16)
+    while first > 1 and _largest(offers, first) > most_offers:
+        first = max(1, first // 16)
+    widths = rings(tolerance_us, first)
     settled = []
     for width in widths:
         span = max(1, width)  # a tolerance of zero asks for equal times

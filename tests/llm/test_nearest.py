@@ -26,7 +26,7 @@ def test_equals_brute_force(spark, seed, hot):
     l = spark.createDataFrame(left, "left_id string, key string, t_us long").selectExpr("*", "1 AS bucket", "2 AS r_us")  # noqa: E741
     r = spark.createDataFrame(right, "right_id string, key string, t_us long")
     for tolerance, first in ((120, None), (120, 1), (7, 100), (0, None)):
-        got = {x["left_id"]: (x["right_id"], x["gap_us"]) for x in nearest_in_time(l, r, tolerance, first, hot).collect()}
+        got = {x["left_id"]: (x["right_id"], x["gap_us"]) for x in nearest_in_time(l, r, tolerance, first, hot, hot).collect()}
         assert got == brute(left, right, tolerance)
 
 
