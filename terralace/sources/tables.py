@@ -93,7 +93,7 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def small_enough(df: DataFrame, limit: int = 64 << 20) -> bool:
+def small_enough(df: DataFrame, limit: int = 16 << 20) -> bool:
     """Whether ``df`` may be broadcast: its estimated size is at most ``limit`` bytes."""
     return size_in_bytes(df) <= limit
 
