@@ -6,7 +6,9 @@ counted over the whole corpus. Rare runs are seeds, and so is the rarest run of
 Seeds join documents to items; Smith-Waterman alignment scores what they find, whole copies and edited ones alike.
 
 Because every window of ``window`` consecutive words holds a seed, no copied window is missed however common all its
-runs are. The test items are the query side: they are stated sets of bounded size, handled in blocks.
+runs are. Where edited copies are wanted too, down to a stated coverage, seeds don't decide: every document and item
+whose words in common allow that coverage are aligned over the whole text, with or without a shared run.
+The test items are the query side: they are stated sets of bounded size, handled in blocks.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 RARE_SHARE = 0.0002
 #: Words around the place of a seed that belong to the alignment, beyond the item's own length.
 MARGIN = 24
+#: Words of text (with padding) that are aligned at a time.
+AT_ONCE = 32_768
 
 
 class Items:
@@ -101,8 +105,80 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, end, longest
 
 
-def _shared(items: Items):
-    """The pass over the texts: doc_id, numbers (of its words), runs and places (of the shared runs)."""
+def align_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """``align`` of every (item, text), those with texts of like length together."""
+    out: list[tuple[int, int, int]] = [(0, 0, 0)] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i][1]))
+    while order:
+        width = len(pairs[order[-1]][1])
+        now, order = order[-max(1, AT_ONCE // (width + 1)) :], order[: -max(1, AT_ONCE // (width + 1))]
+        # padding that equals nothing: 0 in texts is no word of an item, -1 in items is no word of a text
+        text = np.zeros((len(now), width), np.int32)
+        item = np.full((max(len(pairs[i][0]) for i in now), len(now)), -1, np.int32)
+        for k, i in enumerate(now):
+            text[k, : len(pairs[i][1])] = pairs[i][1]
+            item[: len(pairs[i][0]), k] = pairs[i][0]
+        # the narrowest kind that holds a score and the steps added to it
+        kind = np.int16 if width + MATCH * len(item) + 2 < 2**15 else np.int32
+        score, run = np.zeros((len(now), width + 1), kind), np.zeros((len(now), width + 1), kind)
+        steps = np.arange(width + 1, dtype=kind) * kind(-GAP)
+        best, end, longest = (np.zeros(len(now), np.int64) for _ in range(3))
+        for word in item:
+            same = text == word[:, None]
+            step = score + kind(GAP)
+            np.maximum(step[:, 1:], score[:, :-1] + (same * kind(MATCH - MISMATCH) + kind(MISMATCH)), out=step[:, 1:])
+            np.maximum(step, 0, out=step)
+            step += steps
+            np.maximum.accumulate(step, axis=1, out=step)
+            step -= steps
+            score = step
+            run[:, 1:] = (run[:, :-1] + kind(1)) * same
+            top = score.max(axis=1)
+            more = np.flatnonzero(top > best)
+            if len(more):
+                best[more], end[more] = top[more], score[more].argmax(axis=1)
+            np.maximum(longest, run.max(axis=1), out=longest)
+        for k, i in enumerate(now):
+            out[i] = (int(best[k]), int(end[k]), int(longest[k]))
+    return out
+
+
+class Reach:
+    """Which items a text can hold with a score of at least ``coverage`` of the whole item, by bounds that miss none."""
+
+    def __init__(self, items: Items, coverage: float):
+        self.numbers = list(items.numbers.values())
+        self.need = np.array([coverage * MATCH * len(n) for n in self.numbers]) - 1e-9
+        self.words = np.concatenate([*self.numbers, np.zeros(0, np.int64)])
+        self.starts = np.cumsum([0, *(len(n) for n in self.numbers)])[:-1]
+        self.seen = np.zeros(len(items.vocabulary) + 1, bool)
+
+    def __call__(self, text: np.ndarray) -> list[int]:
+        """Places of the items: words of the item that the text has at all, then the best stretch of the text."""
+        if not len(text) or not self.numbers:
+            return []
+        self.seen[text] = True
+        self.seen[0] = False
+        known = np.add.reduceat(self.seen[self.words].astype(np.int64), self.starts)
+        self.seen[text] = False
+        out = []
+        for k in np.flatnonzero(MATCH * known >= self.need):
+            self.seen[self.numbers[k]] = True
+            # a word of the text that the item lacks costs one whether it is put beside a word or beside a gap
+            total = np.cumsum(np.where(self.seen[text], MATCH, max(MISMATCH, GAP)))
+            self.seen[self.numbers[k]] = False
+            low = np.minimum.accumulate(np.concatenate(([0], total[:-1])))
+            if (total - low).max() >= self.need[k]:
+                out.append(int(k))
+        return out
+
+
+def _shared(items: Items, coverage: float | None = None):
+    """The pass over the texts: doc_id, numbers (of its words), runs and places (of the shared runs), near.
+
+    near: places (in ``items.numbers``) of the items that can reach ``coverage``; none if it is not given.
+    """
+    reach = Reach(items, coverage) if coverage is not None else lambda n: []
     hashes, numbers = items.table()
     exact = {k: r for r, k in items.runs.items()}
     short = {r: k for r, k in items.runs.items() if len(r) < GRAM}
@@ -126,26 +202,44 @@ def _shared(items: Items):
                                     hits.append((int(numbers[k]), int(whole[w])))
                 for r, k in short.items():
                     hits += [(k, at) for at in range(len(n) - len(r) + 1) if tuple(n[at : at + len(r)].tolist()) == r]
-                if hits:
-                    out.append((doc, n.astype(np.int32), [k for k, _ in hits], [at for _, at in hits]))
-            yield pd.DataFrame(out, columns=["doc_id", "numbers", "runs", "places"])
+                near = reach(n)
+                if hits or near:
+                    out.append((doc, n.astype(np.int32), [k for k, _ in hits], [at for _, at in hits], near))
+            yield pd.DataFrame(out, columns=["doc_id", "numbers", "runs", "places", "near"])
 
     return scan
 
 
-def _aligned(items: Items, seeds: set[int]):
+def holds(item: np.ndarray, text: np.ndarray, diagonals: set[int], window: int) -> bool:
+    """Whether ``window`` consecutive words are equal where the item lies in the text at one of the places."""
+    for at in diagonals:
+        same = item[max(0, -at) : len(text) - at] == text[max(0, at) : max(0, at + len(item))]
+        if len(same) >= window and (np.diff(np.flatnonzero(np.concatenate(([True], ~same, [True])))) > window).any():
+            return True
+    return False
+
+
+def _aligned(items: Items, seeds: set[int], window: int, whole: bool = False):
+    """The pass over the shared runs; ``whole``: only what is near or holds a window, aligned with the whole text."""
     where = {k: items.places[k] for k in seeds}
+    ids = list(items.numbers)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc, numbers, runs, places in zip(batch["doc_id"], batch["numbers"], batch["runs"], batch["places"]):
+            out, pairs = [], []
+            for doc, numbers, runs, places, near in zip(*(batch[c] for c in ("doc_id", "numbers", "runs", "places", "near"))):
                 wanted: dict[int, list[int]] = defaultdict(list)
                 for k, at in zip(runs, places):
                     for item, start in where.get(int(k), ()):
                         wanted[item].append(int(at) - start)
+                for item in [ids[k] for k in near]:
+                    pairs.append((doc, item, numbers, len(wanted.pop(item, ()))))
                 for item, starts in wanted.items():
                     n = items.numbers[item]
+                    if whole:
+                        if holds(n, numbers, set(starts), window):
+                            pairs.append((doc, item, numbers, len(starts)))
+                        continue
                     best = (0, 0, 0)
                     groups: list[list[int]] = []
                     for s in sorted(starts):
@@ -161,20 +255,26 @@ def _aligned(items: Items, seeds: set[int]):
                         if score > best[0]:
                             best = (score, at + end, run)
                     out.append((doc, item, best[0], best[0] / (MATCH * len(n)), longest, best[1], len(starts)))
+            got = align_all([(items.numbers[item], numbers) for _, item, numbers, _ in pairs])
+            for (doc, item, _, n_seeds), (score, end, longest) in zip(pairs, got):
+                out.append((doc, item, score, score / (MATCH * len(items.numbers[item])), longest, end, n_seeds))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "coverage", "longest_run", "doc_end", "n_seeds"])
 
     return judge
 
 
 def leaks(
-    documents: DataFrame, items: DataFrame, window: int = 15, block: int = BLOCK_ITEMS, rare_share: float = RARE_SHARE
-) -> DataFrame:
+    documents: DataFrame, items: DataFrame, window: int = 15, block: int = BLOCK_ITEMS, rare_share: float = RARE_SHARE,
+    coverage: float | None = None,
+) -> DataFrame:
     """Every document and test item that share a rare run of words, with the alignment of the two.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Result: doc_id, item_id, score (Smith-Waterman: +2 equal
     words, -1 unequal, -1 gap), coverage (score over that of the whole item), longest_run (equal consecutive words),
     doc_end (word of the document after the best alignment) and n_seeds. All pairs that share ``window`` consecutive
-    words are among them, and all that share a run of five which at most ``rare_share`` of the documents have (or 20). Null and empty texts share nothing; an item shorter than five words is looked for as a whole;
+    words are among them, and all that share a run of five which at most ``rare_share`` of the documents have (or 20).
+    With ``coverage``, the result is all pairs that reach it, whatever runs they share (n_seeds may be 0), and all that
+    share ``window`` words, besides a few that come near; their alignment is that over the whole text. Null and empty texts share nothing; an item shorter than five words is looked for as a whole;
     repeated documents each have their rows; an item repeated under one id counts with its smallest text.
     """
     listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
@@ -189,14 +289,14 @@ def leaks(
         held = Items(rows[at : at + block])
         shared = written(
             texts.mapInPandas(
-                _shared(held), f"doc_id {kind}, numbers array<int>, runs array<int>, places array<int>"
+                _shared(held, coverage), f"doc_id {kind}, numbers array<int>, runs array<int>, places array<int>, near array<int>"
             ),
             "shared-runs",
         )
         # at most one row per run of the block's items
         frequency = shared.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").count()
         seeds = seeds_of(held, {r["run"]: r["count"] for r in frequency.toLocalIterator()}, window, max(20.0, rare_share * n_documents))
-        parts.append(shared.mapInPandas(_aligned(held, seeds), schema))
+        parts.append(shared.mapInPandas(_aligned(held, seeds, window, coverage is not None), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

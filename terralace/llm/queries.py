@@ -93,7 +93,7 @@ WINDOW = 15
 
 def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Documents and test items with their alignment, edited copies included: at least half of the item's score."""
-    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), WINDOW)
+    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), WINDOW, coverage=0.5)
     return found.where("coverage >= 0.5 OR longest_run >= 15").withColumn("coverage", F.round("coverage", 4))
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from terralace.llm.leakage import align, leaks
+from terralace.llm.leakage import align, align_all, leaks
 from terralace.llm.words import passages, words
 
 
@@ -85,3 +85,32 @@ def test_empty(spark):
     assert leaks(d, i).count() == 0
     assert leaks(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), i).count() == 0
     assert leaks(d, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+
+
+def test_common_runs_reach_the_coverage(spark):
+    """Pairs of half the score come out though all their runs are common, or though they share no run of five."""
+    rng = random.Random(8)
+    phrases = [[f"p{k}w{i}" for i in range(8)] for k in range(6)]
+    texts = [" ".join(w for k in rng.sample(range(6), 4) for w in phrases[k]) for _ in range(150)]
+    item = [f"v{i}" for i in range(60)]
+    texts += [" ".join(w if k % 5 else "other" for k, w in enumerate(item)), " ".join(w for x in item[:40] for w in (x, "and")), " ".join(item[:29])]
+    items = [(i, " ".join([*phrases[i], f"own{i}", *phrases[(i + 1) % 6], f"rare{i}", f"more{i}"])) for i in range(6)] + [(9, " ".join(item))]
+    want = set()
+    for d, t in enumerate(texts):
+        for i, x in items:
+            number = {w: k + 1 for k, w in enumerate(words(x))}
+            score, _, longest = align(np.array(list(number.values())), np.array([number.get(w, 0) for w in words(t)]))
+            if score >= len(number):
+                want.add((d, i, score, longest))
+    dd, ii = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (20_000, 2):
+        got = leaks(dd, ii, 15, block, coverage=0.5).where("coverage >= 0.5").collect()
+        assert len(got) == len(want) > 100 and {(r["doc_id"], r["item_id"], r["score"], r["longest_run"]) for r in got} == want
+    assert (150, 9) in {w[:2] for w in want} and (152, 9) not in {w[:2] for w in want}
+
+
+def test_align_all_equals_align():
+    rng = random.Random(4)
+    pairs = [tuple(np.array([rng.randrange(low, 6) for _ in range(rng.randrange(1, n))]) for low, n in ((1, 20), (0, 200))) for _ in range(300)]
+    pairs.append((np.array([1, 2]), np.array([1, 2] * 40_000)))
+    assert align_all(pairs) == [align(a, b) for a, b in pairs] and align_all([]) == []
