@@ -71,14 +71,15 @@ def dedup_by_priority(links: DataFrame, priority: Column, left: str, right: str,
 
 
 def link_frames(
-    current: DataFrame, past: DataFrame, scored: DataFrame, fixed: Sequence[str] = (), fixed_radius: float = 0.001, threshold: float = 0.5
-) -> DataFrame:
+    current: DataFrame, past: DataFrame, scored: DataFrame, fixed: Sequence[str] = (), fixed_radius: float = 0.001, threshold: float = 0.5,
+    late_s: int = 0,
+) -> DataFrame:
     """Link what is seen now with what was seen before: pair_id, current_id, past_id, status, score.
 
     ``current`` and ``past``: pair_id (of the two frames), obs_id, label, lat, lon, at, frame_at, and the extent of the
     *other* frame as south, north, west, east (null if unknown). ``scored``: pair_id, left_id (current), right_id
     (past), score, candidates of one label. Rules, in this order: pairs whose current frame isn't later give nothing;
-    past rows later than their frame are left out; fixed labels match by place within ``fixed_radius``; the rest by
+    past rows more than ``late_s`` seconds later than their frame are left out; fixed labels match by place within ``fixed_radius``; the rest by
     score above ``threshold``; unmatched current rows are ``new``, or ``past_not_included`` outside the past extent;
     unmatched past rows are ``disappeared``, or ``current_not_included`` outside the current extent.
     """
@@ -87,7 +88,7 @@ def link_frames(
     )
     bad = order.where("now <= then").select("pair_id")
     cur = current.join(bad, "pair_id", "left_anti").withColumn("label", F.lower("label"))
-    old = past.join(bad, "pair_id", "left_anti").where("at <= frame_at").withColumn("label", F.lower("label"))
+    old = past.join(bad, "pair_id", "left_anti").where(F.col("at") <= F.col("frame_at") + F.make_dt_interval(secs=F.lit(late_s))).withColumn("label", F.lower("label"))
     names = [f.lower() for f in fixed]
     l = cur.select("pair_id", F.col("obs_id").alias("left_id"), "label", F.col("lat").alias("la"), F.col("lon").alias("lo"))  # noqa: E741
     r = old.select("pair_id", F.col("obs_id").alias("right_id"), "label", F.col("lat").alias("lb"), F.col("lon").alias("lp"))

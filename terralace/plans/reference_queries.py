@@ -327,11 +327,10 @@ def linked_frames(spark: SparkSession, d: str) -> DataFrame:
         both = both.join(f.select(F.col("id").alias(key), F.col("capture_time").alias(f"{own}_at"), *[F.col(c).alias(f"{own}_{c}") for c in ("lat_min", "lat_max", "lon_min", "lon_max")]), key)
     both = written(both, "frame-pairs")
     cur = o.join(both.withColumn("image_id", F.col("pair_id")), "image_id").select("pair_id", *pick("cur", "old"))
-    # the window of an observation's time starts with its frame: later rows of the past frame are left out by the rule
     old = o.join(both.withColumn("image_id", F.col("prev_id")), "image_id").select("pair_id", *pick("old", "cur"))
-    old = old.withColumn("frame_at", F.col("frame_at") + F.expr("INTERVAL 2 MINUTES"))
     scored = _pairs_of_frames(spark, d).select(F.col("image_id").alias("pair_id"), "left_id", "right_id", "score")
-    return matching.link_frames(cur, old, scored, FIXED_CLASSES)
+    # the window of an observation's time starts with its frame: later rows of the past frame are left out by the rule
+    return matching.link_frames(cur, old, scored, FIXED_CLASSES, late_s=120)
 
 
 def best_links(spark: SparkSession, d: str) -> DataFrame:

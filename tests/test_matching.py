@@ -1,13 +1,14 @@
 """Matching, suppression and merging: properties, and the scenarios of linking two points in time."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from terralace.operators.boxes import merge_adjacent, merge_contained, multi_scale, nms, tiles
 from terralace.operators.matching import dedup_by_priority, greedy_match, link_frames, match_in_rounds, staged_match
+from terralace.plans import reference_queries as queries
 
 PAST, NOW, FUTURE = datetime(2024, 1, 1, 6), datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 18)
 CAND = "g string, left_id string, right_id string, score double"
@@ -77,6 +78,34 @@ def test_scenarios(spark, current, past, scores, kw, want):
     assert key((r["current_id"], r["past_id"], r["status"]) for r in out.collect()) == key(want)
 
 
+def test_slack_for_late_rows_leaves_the_order_of_frames(spark):
+    then, now = PAST, PAST + timedelta(seconds=60)
+    rows = lambda side, t: spark.createDataFrame([("p", i, "a", 10.0, 20.0, t + timedelta(seconds=s), t, *(None,) * 4) for i, s in side], SEEN)
+    score = spark.createDataFrame([("p", "c1", "p1", 0.9)], SCORED)
+    past = rows([("p1", 90), ("p2", 120), ("p3", 121)], then)
+    got = lambda cur, at: key((r["current_id"], r["past_id"], r["status"]) for r in link_frames(rows(cur, at), past, score, late_s=120).collect())
+    assert got([("c1", 0)], now) == key([("c1", "p1", "matched"), (None, "p2", "disappeared")])
+    assert got([("c1", 0)], then) == []
+
+
+def frames_and_boxes(spark, folder, gap, seen):
+    """Two frames ``gap`` seconds apart and the observations (id, frame, class, box, lat, lon) in them."""
+    for name, rows in (
+        ("image_records", [{"id": i, "session_id": "s", "ingestion_time": NOW, "capture_time": t} for i, t in (("old", PAST), ("new", PAST + timedelta(seconds=gap)))]),
+        ("detection_records", [{"id": i, "image_id": f, "ingestion_time": NOW, "object_class": c, "lat": la, "lon": lo, **dict(zip(("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), map(float, b)))} for i, f, c, b, la, lo in seen]),
+    ):
+        kind = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
+        spark.createDataFrame([tuple(r.get(c) for c in kind.names) for r in rows], kind).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_frames_close_in_time_are_linked(spark, tmp_path):
+    box = (0, 0, 10, 10)
+    d = frames_and_boxes(spark, tmp_path, 60, [("a", "old", "ship", box, 10.0, 20.0), ("b", "new", "Ship", box, 10.0, 20.0), ("c", "new", "car", box, 10.0, 20.0)])
+    got = queries.linked_frames(spark, d).collect()
+    assert key((r["current_id"], r["past_id"], r["status"]) for r in got) == key([("b", "a", "matched"), ("c", None, "new")])
+
+
 BOXES = "frame_id string, box_id string, label string, score double, x1 double, y1 double, x2 double, y2 double"
 
 
