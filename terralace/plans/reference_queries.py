@@ -268,20 +268,27 @@ def sites_near_frames(spark: SparkSession, d: str) -> DataFrame:
     return grid_join(f, s, NEAR).select(F.col("l_id").alias("image_id"), F.col("r_site_id").alias("site_id"), F.round("distance", 6).alias("distance"))
 
 
-def _pairs_of_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Observations of each frame with those of the previous frame of its session, of one class and near each other."""
+def _pairs_of_frames(spark: SparkSession, d: str, near: bool = True) -> DataFrame:
+    """Observations of each frame with those of the previous frame of its session, of one class.
+
+    ``near``: only those whose places are given and at most 0.01 degrees apart. The others have no score.
+    """
     prev = previous_frame(spark, d)
     o = observations(spark, d).select("id", "image_id", F.lower(F.trim("object_class")).alias("label"), "lat", "lon", *[F.col(f"bbox_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    near = o.where("label IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
-    cur = near.join(prev.withColumnRenamed("id", "image_id"), "image_id")
-    old = near.select(*[F.col(c).alias(f"p_{c}") for c in near.columns])
+    placed = F.expr("lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0)")
+    o = o.where("label IS NOT NULL").withColumns({c: F.when(placed, F.col(c)) for c in ("lat", "lon")})
+    o = o.where("lat IS NOT NULL") if near else o
+    cur = o.join(prev.withColumnRenamed("id", "image_id"), "image_id")
+    old = o.select(*[F.col(c).alias(f"p_{c}") for c in o.columns])
     far = G.euclid(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
     joined = cur.join(old, (F.col("prev_id") == F.col("p_image_id")) & (F.col("label") == F.col("p_label")))
     a, b = G.box(), G.box("p_")
     size = G.size_ratio(G.area(a), G.area(b))
-    return joined.withColumn("far", far).where("far <= 0.01").select(
+    joined = joined.withColumn("far", far)
+    score = F.round(G.mixed_score(G.proximity(F.col("far"), 0.01), size), 6)
+    return (joined.where("far <= 0.01") if near else joined).select(
         "image_id", F.col("id").alias("left_id"), F.col("p_id").alias("right_id"), "label", F.round(G.iou(a, b), 6).alias("iou"),
-        F.round(G.mixed_score(G.proximity(F.col("far"), 0.01), size), 6).alias("score"),
+        F.when(F.col("far") <= 0.01, score).alias("score"),
     )
 
 
@@ -291,7 +298,7 @@ def scored_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def best_iou(spark: SparkSession, d: str) -> DataFrame:
     """Best box of the current frame for each earlier box, not one-to-one, from an IoU of 0.1."""
-    rows = _pairs_of_frames(spark, d).where("iou >= 0.1")
+    rows = _pairs_of_frames(spark, d, near=False).where("iou >= 0.1")
     best = F.max_by("left_id", F.struct("iou", "left_id"))
     return rows.groupBy("right_id").agg(best.alias("left_id"), F.max("iou").alias("iou"))
 
@@ -308,7 +315,7 @@ def one_to_one_rounds(spark: SparkSession, d: str) -> DataFrame:
 
 def staged_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Box overlap first, then closeness: what a stage takes isn't open to the next."""
-    c = written(_pairs_of_frames(spark, d), "pairs")
+    c = written(_pairs_of_frames(spark, d, near=False), "pairs")
     stages = [c.where("iou > 0.25").select("image_id", "left_id", "right_id", F.col("iou").alias("score")), c.select("image_id", "left_id", "right_id", "score")]
     return matching.staged_match(stages, ["image_id"]).select("left_id", "right_id", "stage")
 

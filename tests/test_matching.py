@@ -106,6 +106,14 @@ def test_frames_close_in_time_are_linked(spark, tmp_path):
     assert key((r["current_id"], r["past_id"], r["status"]) for r in got) == key([("b", "a", "matched"), ("c", None, "new")])
 
 
+def test_boxes_overlap_without_places(spark, tmp_path):
+    d = frames_and_boxes(spark, tmp_path, 3600, [
+        ("a1", "old", "ship", (0, 0, 10, 10), None, None), ("b1", "new", " Ship ", (1, 0, 11, 10), 10.0, 20.0), ("c1", "new", "ship", (5, 0, 15, 10), 0.0, 0.0),
+        ("a2", "old", "car", (0, 0, 10, 10), 10.0, 20.0), ("b2", "new", "car", (0, 0, 10, 10), 11.0, 20.0), ("b3", "new", "bus", (0, 0, 10, 10), 10.0, 20.0),
+    ])
+    assert key((r["right_id"], r["left_id"]) for r in queries.best_iou(spark, d).collect()) == [("a1", "b1"), ("a2", "b2")]
+
+
 BOXES = "frame_id string, box_id string, label string, score double, x1 double, y1 double, x2 double, y2 double"
 
 
