@@ -286,9 +286,11 @@ def _pairs_of_frames(spark: SparkSession, d: str, near: bool = True) -> DataFram
     size = G.size_ratio(G.area(a), G.area(b))
     joined = joined.withColumn("far", far)
     score = F.round(G.mixed_score(G.proximity(F.col("far"), 0.01), size), 6)
+    middle = lambda x: ((x[0] + x[2]) / 2, (x[1] + x[3]) / 2)
     return (joined.where("far <= 0.01") if near else joined).select(
         "image_id", F.col("id").alias("left_id"), F.col("p_id").alias("right_id"), "label", F.round(G.iou(a, b), 6).alias("iou"),
-        F.when(F.col("far") <= 0.01, score).alias("score"),
+        F.when(F.col("far") <= 0.01, score).alias("score"), G.euclid(*middle(a), *middle(b)).alias("moved"),
+        F.greatest(b[2] - b[0], b[3] - b[1], F.lit(1.0)).alias("side"),
     )
 
 
@@ -314,9 +316,12 @@ def one_to_one_rounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def staged_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Box overlap first, then closeness: what a stage takes isn't open to the next."""
-    c = written(_pairs_of_frames(spark, d, near=False), "pairs")
-    stages = [c.where("iou > 0.25").select("image_id", "left_id", "right_id", F.col("iou").alias("score")), c.select("image_id", "left_id", "right_id", "score")]
+    """Box overlap first, then pixels between the centres, less than twice the longest side of the earlier box, then
+    closeness in degrees: what a stage takes isn't open to the next."""
+    pairs = _pairs_of_frames(spark, d, near=False).where("iou > 0.25 OR moved < 2 * side OR score IS NOT NULL")
+    c = written(pairs.select("image_id", "left_id", "right_id", "iou", "moved", "side", "score"), "pairs")
+    ends = ["image_id", "left_id", "right_id"]
+    stages = [c.where("iou > 0.25").select(*ends, F.col("iou").alias("score")), c.where("moved < 2 * side").select(*ends, (-F.col("moved")).alias("score")), c.select(*ends, "score")]
     return matching.staged_match(stages, ["image_id"]).select("left_id", "right_id", "stage")
 
 

@@ -114,6 +114,16 @@ def test_boxes_overlap_without_places(spark, tmp_path):
     assert key((r["right_id"], r["left_id"]) for r in queries.best_iou(spark, d).collect()) == [("a1", "b1"), ("a2", "b2")]
 
 
+def test_overlap_then_pixels_then_degrees(spark, tmp_path):
+    d = frames_and_boxes(spark, tmp_path, 3600, [
+        ("a1", "old", "ship", (0, 0, 10, 10), None, None), ("b1", "new", "ship", (1, 0, 11, 10), 10.0, 20.0),
+        ("a2", "old", "car", (0, 0, 10, 10), 10.0, 20.0), ("b2", "new", "car", (0, 19, 10, 29), 11.0, 20.0), ("c2", "new", "car", (0, 18, 10, 28), 0.0, 0.0), ("d2", "new", "car", (500, 0, 510, 10), 10.0, 20.0),
+        ("a3", "old", "bus", (0, 0, 10, 10), 10.0, 20.0), ("b3", "new", "bus", (0, 20, 10, 30), 10.001, 20.0), ("c3", "new", "bus", (0, 20, 90, 30), 11.0, 20.0),
+    ])
+    got = queries.staged_pairs(spark, d).collect()
+    assert key((r["left_id"], r["right_id"], r["stage"]) for r in got) == [("b1", "a1", 0), ("b3", "a3", 2), ("c2", "a2", 1)]
+
+
 BOXES = "frame_id string, box_id string, label string, score double, x1 double, y1 double, x2 double, y2 double"
 
 
