@@ -72,7 +72,7 @@ def dedup_by_priority(links: DataFrame, priority: Column, left: str, right: str,
 
 def link_frames(
     current: DataFrame, past: DataFrame, scored: DataFrame, fixed: Sequence[str] = (), fixed_radius: float = 0.001, threshold: float = 0.5,
-    late_s: int = 0,
+    late_s: int = 0, similarity: DataFrame | None = None, same: float = 0.5,
 ) -> DataFrame:
     """Link what is seen now with what was seen before: pair_id, current_id, past_id, status, score.
 
@@ -81,7 +81,9 @@ def link_frames(
     (past), score, candidates of one label. Rules, in this order: pairs whose current frame isn't later give nothing;
     past rows more than ``late_s`` seconds later than their frame are left out; fixed labels match by place within ``fixed_radius``; the rest by
     score above ``threshold``; unmatched current rows are ``new``, or ``past_not_included`` outside the past extent;
-    unmatched past rows are ``disappeared``, or ``current_not_included`` outside the current extent.
+    unmatched past rows are ``disappeared``, or ``current_not_included`` outside the current extent. ``similarity``: pair_id,
+    left_id, right_id, similarity; fixed labels matched by place are ``changed`` where it is below ``same``, and ``matched``
+    where it isn't, isn't known or isn't given.
     """
     order = current.groupBy("pair_id").agg(F.max("frame_at").alias("now")).join(
         past.groupBy("pair_id").agg(F.max("frame_at").alias("then")), "pair_id", "left"
@@ -95,18 +97,24 @@ def link_frames(
     far = euclid(F.col("la"), F.col("lo"), F.col("lb"), F.col("lp"))
     at_place = l.join(r, ["pair_id", "label"]).where(F.col("label").isin(names) & (far <= fixed_radius))
     placed = greedy_match(at_place.select("pair_id", "left_id", "right_id", (-far).alias("score")), ["pair_id"]).withColumn("score", F.lit(1.0))
+    placed = placed.withColumn("status", F.lit("matched"))
+    if similarity is not None:
+        ends = ["pair_id", "left_id", "right_id"]
+        least = similarity.groupBy(*ends).agg(F.min("similarity").alias("similarity"))
+        placed = placed.join(least, ends, "left").withColumn("status", F.when(F.col("similarity") < same, "changed").otherwise("matched")).drop("similarity")
     free = scored.where(F.col("score") > threshold).select("pair_id", "left_id", "right_id", "score")
     free = free.join(l.select("pair_id", "left_id"), ["pair_id", "left_id"], "left_semi").join(r.select("pair_id", "right_id"), ["pair_id", "right_id"], "left_semi")
     free = free.join(placed.select("pair_id", "left_id"), ["pair_id", "left_id"], "left_anti").join(
         placed.select("pair_id", "right_id"), ["pair_id", "right_id"], "left_anti"
     )
-    matched = placed.unionByName(greedy_match(free.select("pair_id", "left_id", "right_id", "score"), ["pair_id"]))
+    scores = greedy_match(free.select("pair_id", "left_id", "right_id", "score"), ["pair_id"]).withColumn("status", F.lit("matched"))
+    matched = placed.unionByName(scores)
     inside = in_extent(F.col("lat"), F.col("lon"), F.col("south"), F.col("north"), F.col("west"), F.col("east"))
     new = cur.join(matched.select("pair_id", F.col("left_id").alias("obs_id")), ["pair_id", "obs_id"], "left_anti")
     gone = old.join(matched.select("pair_id", F.col("right_id").alias("obs_id")), ["pair_id", "obs_id"], "left_anti")
     none = F.lit(None).cast("string")
     return (
-        matched.select("pair_id", F.col("left_id").alias("current_id"), F.col("right_id").alias("past_id"), F.lit("matched").alias("status"), "score")
+        matched.select("pair_id", F.col("left_id").alias("current_id"), F.col("right_id").alias("past_id"), "status", "score")
         .unionByName(new.select("pair_id", F.col("obs_id").alias("current_id"), none.alias("past_id"), F.when(inside, "new").otherwise("past_not_included").alias("status"), F.lit(None).cast("double").alias("score")))
         .unionByName(gone.select("pair_id", none.alias("current_id"), F.col("obs_id").alias("past_id"), F.when(inside, "disappeared").otherwise("current_not_included").alias("status"), F.lit(None).cast("double").alias("score")))
     )

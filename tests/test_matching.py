@@ -88,6 +88,15 @@ def test_slack_for_late_rows_leaves_the_order_of_frames(spark):
     assert got([("c1", 0)], then) == []
 
 
+def test_fixed_labels_change_by_similarity(spark):
+    rows = lambda side, t: spark.createDataFrame([("p", f"{side}{i}", c, 10.0 + i, 20.0, t, t, *(None,) * 4) for i, c in enumerate(("pier", "pier", "pier", "pier", "ship"))], SEEN)
+    scored = spark.createDataFrame([("p", "c4", "p4", 0.9)], SCORED)
+    alike = spark.createDataFrame([("p", "c0", "p0", 0.2), ("p", "c1", "p1", 0.9), ("p", "c2", "p2", None), ("p", "c4", "p4", 0.1)], "pair_id string, left_id string, right_id string, similarity double")
+    got = lambda **kw: {r["current_id"]: r["status"] for r in link_frames(rows("c", NOW), rows("p", PAST), scored, ["pier"], **kw).collect()}
+    assert got(similarity=alike) == {"c0": "changed", **{f"c{i}": "matched" for i in (1, 2, 3, 4)}}
+    assert set(got().values()) == {"matched"}
+
+
 def frames_and_boxes(spark, folder, gap, seen):
     """Two frames ``gap`` seconds apart and the observations (id, frame, class, box, lat, lon) in them."""
     for name, rows in (
