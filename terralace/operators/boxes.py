@@ -66,24 +66,32 @@ def nms(boxes: DataFrame, iou: float = 0.3, iomin: float | None = 0.5) -> DataFr
 
 
 def _merge(boxes: DataFrame, joins, together) -> DataFrame:
-    """Merge pairs of one label in a frame, first pair first, until none is left."""
+    """Boxes of one label in a frame, by falling score, each taking in the later ones that join it; again until none does.
+
+    A sweep looks at every pair once. Ties of the score go to the smaller box_id, which is also the id that is kept.
+    """
+
+    def sweep(rows: list[dict]) -> list[dict]:
+        kept = []
+        while rows:
+            first, later = rows[0], []
+            for other in rows[1:]:
+                if joins(first, other):
+                    first = together(first, other)
+                else:
+                    later.append(other)
+            kept.append(first)
+            rows = later
+        return kept
 
     def rule(group: list[tuple]) -> list[tuple]:
         rows = [dict(zip(_COLUMNS, r)) for r in group]
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(rows)):
-                j = next((j for j in range(i + 1, len(rows)) if joins(rows[i], rows[j])), None)
-                if j is not None:
-                    rows[i] = together(rows[i], rows[j])
-                    del rows[j]
-                    changed = True
-                    break
-        return [tuple(r[c] for c in _COLUMNS) for r in rows]
+        while len(fewer := sweep(rows)) < len(rows):
+            rows = fewer
+        return [tuple(r[c] for c in _COLUMNS) for r in fewer]
 
     good = boxes.dropna(subset=["score", *BOX]).withColumn("label", F.lower("label")).select(*_COLUMNS)
-    return map_groups(good, ["frame_id", "label"], ["box_id"], SCHEMA, rule)
+    return map_groups(good, ["frame_id", "label"], [F.desc("score"), "box_id"], SCHEMA, rule)
 
 
 def _size(b: dict) -> float:
@@ -91,20 +99,29 @@ def _size(b: dict) -> float:
 
 
 def merge_contained(boxes: DataFrame, iomin: float = 0.99) -> DataFrame:
-    """Of two boxes of a label (case doesn't matter) one of which holds the other, keep the larger with the higher score."""
+    """Of two boxes of a label (case doesn't matter) one of which holds the other, keep the larger with the higher score.
+
+    The row keeps the id of the box with the higher score.
+    """
 
     def joins(a: dict, b: dict) -> bool:
         w, h = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"]), min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
         return w > 0 and h > 0 and w * h / (min(_size(a), _size(b)) + EPS) >= iomin
 
     def together(a: dict, b: dict) -> dict:
-        return {**(a if _size(a) >= _size(b) else b), "score": max(a["score"], b["score"])}
+        larger = a if _size(a) >= _size(b) else b
+        return {**a, **{c: larger[c] for c in BOX}, "score": max(a["score"], b["score"])}
 
     return _merge(boxes, joins, together)
 
 
 def merge_adjacent(boxes: DataFrame, gap: float = 5.0) -> DataFrame:
-    """Unite boxes of a label whose horizontal and vertical gaps are at most ``gap``, with the higher score."""
+    """Unite boxes of a label whose horizontal and vertical gaps are at most ``gap``, with the higher score.
+
+    A ``gap`` of zero or less merges nothing.
+    """
+    if gap <= 0:
+        return boxes.dropna(subset=["score", *BOX]).withColumn("label", F.lower("label")).select(*_COLUMNS)
 
     def joins(a: dict, b: dict) -> bool:
         return (

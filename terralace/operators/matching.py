@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralace.functions.geometry import euclid, in_extent
 from terralace.operators.grouped import map_groups
-from terralace.sources.tables import written
+from terralace.sources.tables import cut_folder, written
 
 
 def greedy_match(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -35,30 +37,31 @@ def greedy_match(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
     return map_groups(rows, group, [F.desc("score"), "left_id", "right_id"], schema, rule)
 
 
-def match_in_rounds(candidates: DataFrame, group: Sequence[str], rounds: int = 1000) -> DataFrame:
+def match_in_rounds(candidates: DataFrame, group: Sequence[str]) -> DataFrame:
     """The same pairs as greedy_match, by rounds of mutually best pairs: any group size, no Python.
 
-    Each round keeps the pairs that are the best of both their sides and drops what they take. At least the best pair
-    left is kept, so it ends; each round is written to the shared folder, which cuts the lineage.
+    Each round keeps the pairs that are the best of both their sides and drops what they take, until no candidate is
+    left. At least the best pair left is kept, so it ends, after one round a pair at worst (a chain of falling scores);
+    each round is written to the shared folder, which cuts the lineage.
     """
+    spark = candidates.sparkSession
+    folder = cut_folder(spark, "matched")
     order = [F.desc("score"), "left_id", "right_id"]
     rest = written(candidates.select(*group, "left_id", "right_id", "score").dropna(subset=["left_id", "right_id", "score"]).distinct(), "candidates")
-    kept = []
-    for _ in range(rounds):
+    columns, turn = rest.columns, 0
+    rest.limit(0).write.parquet(f"{folder}/turn=-1")
+    while not rest.isEmpty():
         best = rest
         for side in ("left_id", "right_id"):
             best = best.withColumn(f"rank_{side}", F.row_number().over(Window.partitionBy(*group, side).orderBy(*order)))
-        best = written(best.where("rank_left_id = 1 AND rank_right_id = 1").select(*rest.columns), "matched")
-        if best.isEmpty():
-            break
-        kept.append(best)
+        best.where("rank_left_id = 1 AND rank_right_id = 1").select(*columns).write.parquet(f"{folder}/turn={turn}")
+        best = spark.read.schema(rest.schema).parquet(f"{folder}/turn={turn}")
         for side in ("left_id", "right_id"):
-            rest = rest.join(best.select(*group, side), [*group, side], "left_anti").select(*best.columns)
-        rest = written(rest, "candidates")
-    out = kept[0] if kept else rest.limit(0)
-    for k in kept[1:]:
-        out = out.unionByName(k)
-    return out
+            taken = best.select(*[F.col(c).alias(f"taken_{c}") for c in (*group, side)])
+            same = [F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in group] + [F.col(side) == F.col(f"taken_{side}")]
+            rest = rest.join(taken, reduce(and_, same), "left_anti")
+        rest, turn = written(rest, "candidates"), turn + 1
+    return spark.read.schema(rest.schema).parquet(folder).select(*columns)
 
 
 def dedup_by_priority(links: DataFrame, priority: Column, left: str, right: str, tie: str) -> DataFrame:

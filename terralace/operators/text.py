@@ -9,20 +9,24 @@ from terralace.functions.geometry import dot
 
 #: A sentence ends behind . ! or ? before white space, or at an empty line.
 SENTENCE = r"(?U)(?<=[.!?])\s+|\n{2,}"
+#: White space at the ends of sentences and chunks.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, SENTENCE), lambda s: F.btrim(s, F.lit(" \t\r\n"))), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, SENTENCE), lambda s: F.btrim(s, F.lit(BLANKS))), lambda s: s != "")
 
 
 def chunks(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
     """Pack sentences greedily into chunks: doc_id, chunk_no, text.
 
-    ``documents``: doc_id, text. A chunk takes sentences, joined by a blank, while it stays within ``size`` characters;
-    the next one begins with the last ``overlap`` characters of the one before. A sentence longer than ``size`` is a
-    chunk of its own. Null and empty texts give no chunk. All of it is one JVM fold per text.
+    ``documents``: doc_id, text. A text of at most ``size`` characters is one chunk, as it is. Else a chunk takes
+    sentences, joined by a blank, while it stays within ``size`` characters; the next one begins with the last
+    ``overlap`` characters of the one before, without blanks at its ends. A sentence longer than ``size`` stays whole.
+    Null texts, and texts without any sentence, give no chunk. All of it is one JVM fold per text.
     """
+    blanks = F.lit(BLANKS)
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(state: Column, s: Column) -> Column:
@@ -30,7 +34,7 @@ def chunks(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFram
         fits = (F.length(now) == 0) | (F.length(now) + 1 + F.length(s) <= size)
         grown = F.when(F.length(now) == 0, s).otherwise(F.concat(now, F.lit(" "), s))
         tail = F.when(F.length(now) > overlap, F.substring(now, -overlap, overlap)).otherwise(now)
-        fresh = F.when(F.lit(overlap) > 0, F.concat(tail, F.lit(" "), s)).otherwise(s)
+        fresh = F.btrim(F.concat(tail, F.lit(" "), s), blanks) if overlap > 0 else s
         return F.when(fits, F.struct(done.alias("done"), grown.alias("now"))).otherwise(
             F.struct(F.array_append(done, now).alias("done"), fresh.alias("now"))
         )
@@ -38,7 +42,9 @@ def chunks(documents: DataFrame, size: int = 512, overlap: int = 64) -> DataFram
     def finish(state: Column) -> Column:
         return F.when(F.length(state["now"]) > 0, F.array_append(state["done"], state["now"])).otherwise(state["done"])
 
-    packed = F.aggregate(sentences(F.col("text")), start, step, finish)
+    packed = F.when(F.length("text") <= size, F.when(F.btrim("text", blanks) != "", F.array("text"))).otherwise(
+        F.aggregate(sentences(F.col("text")), start, step, finish)
+    )
     return documents.where("text IS NOT NULL").select("doc_id", F.posexplode(packed).alias("chunk_no", "text"))
 
 

@@ -74,8 +74,7 @@ def filter_in_or_null(spark: SparkSession, d: str) -> DataFrame:
 
 
 def not_synthetic(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "detection_records").where(F.coalesce("source_type", F.lit("")) != "synthetic")
-    return rows.groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "detection_records").where(F.coalesce("source_type", F.lit("")) != "synthetic").select("id", "ingestion_time", "source_type")
 
 
 def quality_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -534,7 +533,7 @@ def dml_partial_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dml_delete(spark: SparkSession, d: str) -> DataFrame:
-    return dml.delete_where(table(spark, d, "detection_records"), F.col("source_type") == "synthetic").groupBy("source_type").agg(F.count(F.lit(1)).alias("n"))
+    return dml.delete_where(table(spark, d, "detection_records"), F.col("source_type") == "synthetic").select("id", "ingestion_time", "object_class", "source_type")
 
 
 def dml_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -580,12 +579,15 @@ def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_follow_ups(spark: SparkSession, d: str) -> DataFrame:
-    kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return stream.available_now(stream.follow_ups(stream.event_stream(spark, d), kinds[0], kinds[-1]))
+    return stream.available_now(stream.follow_ups(stream.event_stream(spark, d)))
 
 
 def stream_value_changes(spark: SparkSession, d: str) -> DataFrame:
-    return stream.available_now(stream.value_changes(stream.event_stream(spark, d)), "update")
+    return stream.available_now(stream.value_changes(stream.event_stream(spark, d)), "update", ["user_id"])
+
+
+def stream_counts(spark: SparkSession, d: str) -> DataFrame:
+    return stream.available_now(stream.counts(stream.event_stream(spark, d)), "update", ["event_type"])
 
 
 QUERIES = {
@@ -598,7 +600,7 @@ QUERIES = {
         best_links, change_status, lineage, sessions_near, class_summary, status_counts, session_summary, common_classes, top_with_rest,
         latest_link_batch, entity_rollup, relation_rollup, cooccurrence, graph_edges, components, communities, local_search, global_search,
         sentence_counts, text_chunks, vector_top_k, dml_partial_update, dml_delete, dml_replace, dml_remap, dml_merge, stream_tumbling,
-        stream_sliding, stream_sessions, stream_first_deliveries, stream_follow_ups, stream_value_changes,
+        stream_sliding, stream_sessions, stream_first_deliveries, stream_follow_ups, stream_value_changes, stream_counts,
     )
 }
 

@@ -13,6 +13,12 @@ _SLUG = "replace(lower(trim(coalesce(current_object_class, past_object_class, 'u
 _LOC = f"""loc AS (SELECT {_PLACE} AS place, {_SLUG} AS slug, lower(trim(status)) AS st, coalesce(current_confidence, past_confidence, 0.0) AS conf,
   coalesce(current_capture_time, past_capture_time) AS seen_at, session_id FROM lk)"""
 
+# white space of all kinds, as a class and as a list of characters
+_WHITE = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BLANKS = " || ".join(f"chr({i})" for i in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_SENTENCES = rf"""st AS (SELECT doc_id, text, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?]){_WHITE}+', '\1' || chr(1), 'g'), '\n{{2,}}', chr(1), 'g'), chr(1)),
+  lambda x: trim(x, {_BLANKS})), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL)"""
+
 
 def _near(radius: float, lat: str = "lat", lon: str = "lon") -> str:
     return f"{lat} BETWEEN q_lat - {radius} AND q_lat + {radius} AND {lon} BETWEEN q_lon - {radius} AND q_lon + {radius}"
@@ -47,7 +53,7 @@ ORACLE = {
     "row_counts": "SELECT 'image_records' AS table_name, count(*) AS n_rows FROM image_records UNION ALL SELECT 'detection_records', count(*) FROM detection_records UNION ALL SELECT 'pairing_records', count(*) FROM pairing_records",
     "filter_optional": "SELECT id, ingestion_time, sensor_platform FROM image_records WHERE source_type = 'satellite' AND sensor_platform ILIKE '%orbit%' AND lat_center BETWEEN -30 AND 60 AND session_id IS NOT NULL",
     "filter_in_or_null": "SELECT id, pairing_time, status FROM pairing_records WHERE lower(trim(status)) IN ('new', 'moved') AND (current_capture_time IS NOT NULL OR past_capture_time IS NOT NULL)",
-    "not_synthetic": "SELECT source_type, count(*) AS n FROM detection_records WHERE coalesce(source_type, '') <> 'synthetic' GROUP BY 1",
+    "not_synthetic": "SELECT id, ingestion_time, source_type FROM detection_records WHERE coalesce(source_type, '') <> 'synthetic'",
     "quality_filter": f"""WITH {_FR} SELECT o.id, o.ingestion_time FROM detection_records o JOIN fr ON fr.id = o.image_id
       WHERE bbox_x2 - bbox_x1 >= 4 AND bbox_y2 - bbox_y1 >= 4 AND (bbox_x2 - bbox_x1) * (bbox_y2 - bbox_y1) <=
       CASE WHEN lower(trim(object_class, ' ')) IN {_FIXED} THEN 0.7 ELSE 0.15 END * det_width * det_height""",
@@ -162,7 +168,7 @@ ORACLE = {
       s AS (SELECT q.vec_id AS query_id, n.vec_id, round(list_dot_product(q.v, n.v), 6) AS s FROM n q JOIN n ON n.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
       r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS k FROM s) SELECT query_id, vec_id, round(s, 4) AS score FROM r WHERE k <= 5""",
     "dml_partial_update": f"WITH {_FR} SELECT id, coalesce(lat_min, -1.0) AS lat_min, lat_max, source_type FROM fr",
-    "dml_delete": "SELECT source_type, count(*) AS n FROM detection_records WHERE source_type IS DISTINCT FROM 'synthetic' GROUP BY 1",
+    "dml_delete": "SELECT id, ingestion_time, object_class, source_type FROM detection_records WHERE source_type IS DISTINCT FROM 'synthetic'",
     "dml_replace": f"""WITH {_OB}, n AS (SELECT 'edit-' || edit_id AS obs_id, any_value(image_id) AS image_id, any_value(object_class) AS object_class, least(greatest(any_value(confidence), 0.0), 1.0) AS confidence FROM detection_in GROUP BY edit_id)
       SELECT id AS obs_id, image_id, object_class, confidence FROM ob WHERE image_id IS NULL OR image_id NOT IN (SELECT image_id FROM n WHERE image_id IS NOT NULL)
       UNION ALL SELECT * FROM n WHERE image_id IS NOT NULL""",
@@ -180,6 +186,19 @@ ORACLE = {
       y AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM x)
       SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM y GROUP BY user_id, s""",
     "stream_first_deliveries": "SELECT DISTINCT event_id, event_type FROM events",
-    "stream_follow_ups": """WITH k AS (SELECT min(event_type) AS a, (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 1 OFFSET 1) AS b FROM events)
-      SELECT x.user_id, x.event_id AS first_id, y.event_id AS second_id FROM k, events x JOIN events y ON x.user_id = y.user_id AND y.ts BETWEEN x.ts AND x.ts + INTERVAL 10 MINUTE WHERE x.event_type = a AND y.event_type = b""",
+    "stream_follow_ups": """SELECT x.user_id, x.event_id AS first_id, x.event_type AS first_type, y.event_id AS second_id, y.event_type AS second_type
+      FROM events x JOIN events y ON x.user_id = y.user_id AND y.ts BETWEEN x.ts AND x.ts + INTERVAL 10 MINUTE WHERE x.event_type <> y.event_type""",
+    "stream_counts": "SELECT event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1",
+    # a fold over the values of a user in order: the last value that counted, and how often it moved
+    "stream_value_changes": """WITH u AS (SELECT user_id, list({'last': value, 'n': 0} ORDER BY ts, event_id) FILTER (value IS NOT NULL AND NOT isnan(value)) AS v FROM events GROUP BY 1),
+      f AS (SELECT user_id, list_reduce(v, lambda a, x: CASE WHEN abs(x.last - a.last) > 50 THEN {'last': x.last, 'n': a.n + 1} ELSE a END) AS s FROM u)
+      SELECT user_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_changes, s.last AS last_value FROM f""",
+    "sentence_counts": f"""WITH {_SENTENCES} SELECT doc_id, CAST(len(s) AS INT) AS n_sentences FROM st""",
+    "text_chunks": f"""WITH {_SENTENCES},
+      c AS (SELECT doc_id, CASE WHEN length(text) <= 512 THEN CASE WHEN len(s) > 0 THEN [text] ELSE [] END WHEN len(s) = 0 THEN [] ELSE
+        list_append(f.done, f.now) END AS c FROM (SELECT doc_id, text, s, CASE WHEN len(s) > 0 THEN list_reduce(list_transform(s, lambda x: {{'done': []::VARCHAR[], 'now': x}}), lambda a, x:
+          CASE WHEN length(a.now) + 1 + length(x.now) <= 512 THEN {{'done': a.done, 'now': a.now || ' ' || x.now}}
+          ELSE {{'done': list_append(a.done, a.now), 'now': trim("right"(a.now, 64) || ' ' || x.now, {_BLANKS})}} END) END AS f FROM st)),
+      u AS (SELECT doc_id, unnest(c) AS t, generate_subscripts(c, 1) - 1 AS n FROM c)
+      SELECT doc_id, CAST(n AS INT) AS chunk_no, CAST(length(t) AS INT) AS n_chars, CASE WHEN length(t) > 40 THEN regexp_replace("left"(t, 40), ' [^ ]*$', '') || '...' ELSE t END AS start FROM u""",
 }

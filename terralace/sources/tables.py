@@ -9,12 +9,15 @@ import site
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_OWN_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
@@ -56,36 +59,52 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="terralace-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    own = spark.sparkContext.applicationId
+    if own not in _OWN_FOLDERS:
+        _OWN_FOLDERS[own] = "file://" + tempfile.mkdtemp(prefix="terralace-")
+    return _OWN_FOLDERS[own]
+
+
+def cut_folder(spark: SparkSession, name: str = "cut") -> str:
+    """A new folder below the shared one; it is removed at the end of the ``cuts`` scope it was made in."""
+    ship(spark)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_sweep)
+    _WRITTEN.append((spark, path))
+    return path
+
+
+@contextmanager
+def cuts() -> Iterator[None]:
+    """Remove what was written inside: run a query to its end within it, so that a long session keeps no files."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _sweep(before)
 
 
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """Cut the lineage: write ``df`` as parquet into the shared folder and read it back.
 
     A lost executor costs nothing afterwards, columns stay prunable, and the size of the result is known to the
-    planner. The files are removed when the driver's Python ends.
+    planner. The files are removed at the end of the scope (``cuts``), at the latest when the driver's Python ends.
     """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = cut_folder(df.sparkSession, name)
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_sweep)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _sweep() -> None:
-    for spark, path in _WRITTEN:
+def _sweep(start: int = 0) -> None:
+    for spark, path in _WRITTEN[start:]:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session may be gone already
-            return
-    _WRITTEN.clear()
+            break
+    del _WRITTEN[start:]
 
 
 def size_in_bytes(df: DataFrame) -> int:

@@ -6,37 +6,52 @@ bounded here by ``available_now``, which reads what is there and ends.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from terralace.sources.tables import shared_folder
+from terralace.sources.tables import cut_folder
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """A table of a data folder as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+def event_stream(spark: SparkSession, folder: str, name: str = "events", files_per_batch: int | None = None) -> DataFrame:
+    """A table of a data folder as a stream of its files, all at once or so many in a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{folder}/{name}.parquet").schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     # the table may be one file or a folder of files
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
+    return reader.parquet(f"{folder}/{name}.parquet*")
 
 
-def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into a parquet folder (append) or a table by batch (complete); read it back."""
-    base = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
-    else:
+def available_now(stream: DataFrame, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what is there, in as many batches as it takes, and read back what it says at the end.
 
-        def keep(batch: DataFrame, _: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{base}/out")
+    append: all rows. complete: the table of the last batch. update: the last row of each of ``keys``, over all batches.
+    Each batch has a folder of its own, written anew if it is repeated. A stream without any batch gives an empty table.
+    """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
+    spark = stream.sparkSession
+    base = cut_folder(spark, "stream")
 
-        query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
     query.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(f"{base}/out")
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == F.lit(-1 if last is None else last))
+    if mode == "update":
+        whole = F.struct(*[F.col(c) for c in stream.columns])
+        return rows.groupBy(*keys).agg(F.max_by(whole, F.col("batch")).alias("row")).select("row.*")
+    return rows.drop("batch")
 
 
 def timed(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -71,12 +86,19 @@ def first_deliveries(events: DataFrame) -> DataFrame:
     return timed(events).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def follow_ups(events: DataFrame, first: str, second: str, within: str = "10 minutes") -> DataFrame:
-    """Stream-stream interval join: events of type ``second`` at most ``within`` after one of ``first`` by the same user."""
-    a = timed(events.where(F.col("event_type") == first).select("user_id", F.col("event_id").alias("first_id"), "ts"), "1 hour").withColumnRenamed("ts", "first_ts")
-    b = timed(events.where(F.col("event_type") == second).select(F.col("user_id").alias("second_user"), F.col("event_id").alias("second_id"), "ts"), "1 hour").withColumnRenamed("ts", "second_ts")
-    near = F.expr(f"user_id = second_user AND second_ts >= first_ts AND second_ts <= first_ts + INTERVAL {within}")
-    return a.join(b, near).select("user_id", "first_id", "second_id")
+def follow_ups(events: DataFrame, within: str = "10 minutes") -> DataFrame:
+    """Stream-stream interval join: of each user, events at most ``within`` after one of another type."""
+    side = lambda name: timed(events.select(
+        F.col("user_id").alias(f"{name}_user"), F.col("event_id").alias(f"{name}_id"), F.col("event_type").alias(f"{name}_type"), "ts"
+    )).withColumnRenamed("ts", f"{name}_ts")
+    near = F.expr(f"first_user = second_user AND second_ts >= first_ts AND second_ts <= first_ts + INTERVAL {within}")
+    joined = side("first").join(side("second"), near & (F.col("first_type") != F.col("second_type")))
+    return joined.select(F.col("first_user").alias("user_id"), "first_id", "first_type", "second_id", "second_type")
+
+
+def counts(events: DataFrame) -> DataFrame:
+    """Running number of events and time of the latest, by type: what a poll for changes compares."""
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("latest"))
 
 
 _STATE = "last double, n long"

@@ -26,6 +26,16 @@ def test_core_does_not_need_llm():
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
 
 
+def test_a_broken_import_inside_llm_is_no_absence(tmp_path):
+    (tmp_path / "queries.py").write_text("import no_such_library")
+    code = (
+        f"import sys, types; fake = types.ModuleType('terralace.llm'); fake.__path__ = [{str(tmp_path)!r}]; sys.modules['terralace.llm'] = fake\n"
+        "try:\n    import __spark_entry__\nexcept ModuleNotFoundError as e:\n    sys.exit(0 if e.name == 'no_such_library' else 2)\nsys.exit(1)"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data here")
 def test_flagship(spark):
     rows = entry.entry(spark).collect()

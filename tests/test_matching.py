@@ -163,10 +163,22 @@ def test_merging(spark):
     ]
     df = spark.createDataFrame(rows, BOXES)
     inner = sorted((r["box_id"], r["label"], r["score"], r["x2"]) for r in merge_contained(df.where("frame_id = 'f'")).collect())
-    assert inner == [("1", "a", 0.9, 10.0), ("3", "b", 0.8, 5.0)]
+    assert inner == [("2", "a", 0.9, 10.0), ("3", "b", 0.8, 5.0)]
     wide = sorted((r["x1"], r["x2"], r["score"]) for r in merge_adjacent(df.where("frame_id = 'g'"), 5.0).collect())
     assert wide == [(0.0, 30.0, 0.7), (50.0, 60.0, 0.7)]
-    assert multi_scale([df, df.withColumn("box_id", F.concat("box_id", F.lit("x")))]).count() >= 2
+    assert merge_adjacent(df, 0).count() == df.count()
+    both = multi_scale([df, df.withColumn("box_id", F.concat("box_id", F.lit("x")))])
+    # suppression leaves one box of each place over all labels, and only neighbours within the gap unite
+    assert sorted((r["frame_id"], r["label"], r["score"], r["x1"], r["x2"]) for r in both.collect()) == [
+        ("f", "a", 0.9, 1.0, 5.0), ("g", "a", 0.7, 0.0, 30.0), ("g", "a", 0.7, 50.0, 60.0),
+    ]
+
+
+def test_a_chain_of_falling_scores_is_matched_to_its_end(spark):
+    chain = [(None, f"l{i // 2 + i % 2}", f"r{i // 2}", 1 - i / 100) for i in range(13)]
+    df = spark.createDataFrame(chain, CAND)
+    a, b = (sorted(map(str, f(df, ["g"]).collect())) for f in (greedy_match, match_in_rounds))
+    assert a == b and len(a) == 7
 
 
 def test_tiles_cover_the_frame(spark):

@@ -3,6 +3,8 @@
 from datetime import datetime, timedelta
 import random
 
+import pytest
+
 from terralace.streaming import windows as w
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
@@ -31,7 +33,7 @@ def test_windows_and_deliveries(spark, tmp_path):
 
 def test_state_and_follow_ups(spark, tmp_path):
     d, rows = folder(spark, tmp_path)
-    got = {r["user_id"]: (r["n_changes"], r["last_value"]) for r in w.available_now(w.value_changes(w.event_stream(spark, d)), "update").collect()}
+    got = {r["user_id"]: (r["n_changes"], r["last_value"]) for r in w.available_now(w.value_changes(w.event_stream(spark, d)), "update", ["user_id"]).collect()}
     for user in range(4):
         last, n = None, 0
         for _, _, _, _, v in sorted((r for r in rows if r[2] == user), key=lambda r: (r[1], r[0])):
@@ -39,6 +41,24 @@ def test_state_and_follow_ups(spark, tmp_path):
                 n += last is not None
                 last = v
         assert got[user] == (n, last)
-    pairs = w.available_now(w.follow_ups(w.event_stream(spark, d), "a", "b")).distinct().collect()
-    want = {(a[2], a[0], b[0]) for a in rows for b in rows if a[3] == "a" and b[3] == "b" and a[2] == b[2] and timedelta(0) <= b[1] - a[1] <= timedelta(minutes=10)}
+    pairs = w.available_now(w.follow_ups(w.event_stream(spark, d))).distinct().collect()
+    want = {(a[2], a[0], a[3], b[0], b[3]) for a in rows for b in rows if a[3] != b[3] and a[2] == b[2] and timedelta(0) <= b[1] - a[1] <= timedelta(minutes=10)}
     assert {tuple(r) for r in pairs} == want
+
+
+def test_updates_of_all_batches_count(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    for u in range(3):
+        rows = [(10 * u + i, at + timedelta(hours=u, minutes=i), u, "a", 100.0 * i) for i in range(2)] + [(10 * u + 5, at + timedelta(hours=u, minutes=9), 0, "b", 500.0 * u)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    d = str(tmp_path)
+    got = {r["user_id"]: r["n_changes"] for r in w.available_now(w.value_changes(w.event_stream(spark, d, files_per_batch=1)), "update", ["user_id"]).collect()}
+    assert set(got) == {0, 1, 2} and got[1] == got[2] == 1 and got[0] >= 3
+    n = {r["event_type"]: r["n"] for r in w.available_now(w.counts(w.event_stream(spark, d, files_per_batch=1)), "update", ["event_type"]).collect()}
+    assert n == {"a": 6, "b": 3}
+    assert w.available_now(w.counts(w.event_stream(spark, d, files_per_batch=1)), "complete").count() == 2
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none.parquet"))
+    empty = w.event_stream(spark, d, "none")
+    assert w.available_now(empty.select("event_id")).count() == 0 and w.available_now(w.counts(empty), "complete").count() == 0
+    with pytest.raises(ValueError):
+        w.available_now(w.counts(w.event_stream(spark, d)), "update")
