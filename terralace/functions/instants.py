@@ -1,4 +1,4 @@
-"""Reading one instant out of a text: every notation a text may be written in, and what it means there.
+"""Reading instants out of a text: every notation a text may be written in, and all that it may mean there.
 
 Pure Python, used from Arrow batches by ``terralace.operators.timestamps``. All instants are microseconds since
 1970-01-01 UTC.
@@ -24,9 +24,12 @@ LOCAL_NAMES = {
     "Asia/Kathmandu": {"NPT": 345},
     "America/Sao_Paulo": {"BRT": -180, "BRST": -120},
 }
-#: Units of bare numbers in microseconds, and the years that a number must fall into for a unit to be meant.
-UNITS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
-YEARS = (2015, 2035)
+#: Units of bare numbers, in nanoseconds.
+UNITS = {"d": 86_400_000_000_000, "h": 3_600_000_000_000, "min": 60_000_000_000, "s": 1_000_000_000, "ms": 1_000_000, "us": 1_000, "ns": 1}
+#: Bare numbers whose instant is further from 1970 than this have no reading (years that a date can have).
+FURTHEST_US = 253_000_000_000_000_000
+#: Zone names are looked up in these years; the latest use of a name counts.
+NAME_YEARS = range(2037, 1969, -1)
 
 CLOCK = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?"
 ZONE = r"(?P<z>\s*(?:Z|z|(?:UTC|GMT)?[+-]\d{2}(?::?\d{2})?|\[[A-Za-z_]+(?:/[A-Za-z_+\-0-9]+)*\]|[A-Z]{2,5}))?"
@@ -59,11 +62,11 @@ def _zone(name: str) -> ZoneInfo | None:
 
 @lru_cache(maxsize=None)
 def _names_of(zone: str) -> dict[str, int]:
-    """Abbreviation -> minutes, as used in ``zone`` during the years of interest."""
+    """Abbreviation -> minutes, as used in ``zone``."""
     found: dict[str, int] = dict(LOCAL_NAMES.get(zone, {}))
     tz = _zone(zone)
     if tz:
-        for year in range(YEARS[0], YEARS[1]):
+        for year in NAME_YEARS:
             for month in (1, 7):
                 at = datetime(year, month, 1, tzinfo=tz)
                 found.setdefault(at.tzname(), int(at.utcoffset().total_seconds() // 60))
@@ -75,17 +78,18 @@ def _micros(at: datetime) -> int:
 
 
 @lru_cache(maxsize=65536)
-def _wall_hour(zone: str, y: int, mo: int, d: int, h: int, mi: int) -> int | None:
-    """The instant of a wall minute in ``zone``: the earlier one if it occurs twice, null if it doesn't exist."""
+def _wall(zone: str, y: int, mo: int, d: int, h: int, mi: int) -> tuple[int, ...]:
+    """The instants of a wall minute in ``zone``: none if it doesn't exist, two if it occurs twice, the earlier first."""
     tz = _zone(zone)
     if tz is None:
-        return None
-    at = datetime(y, mo, d, h, mi, tzinfo=tz)
-    utc = at.astimezone(timezone.utc)
-    back = utc.astimezone(tz)
-    if (back.day, back.hour, back.minute) != (d, h, mi):
-        return None
-    return _micros(utc)
+        return ()
+    found = []
+    for fold in (0, 1):
+        utc = datetime(y, mo, d, h, mi, tzinfo=tz, fold=fold).astimezone(timezone.utc)
+        back = utc.astimezone(tz)
+        if (back.day, back.hour, back.minute) == (d, h, mi):
+            found.append(_micros(utc))
+    return tuple(sorted(set(found)))
 
 
 def _offset(zone_text: str, zone: str | None) -> int | None | str:
@@ -106,97 +110,114 @@ def _offset(zone_text: str, zone: str | None) -> int | None | str:
     return _names_of(zone).get(z) if zone else None
 
 
-def _instant(y, mo, d, h, mi, s, frac, zone_text, zone) -> int | None:
-    """The instant of given parts, or null if there is no such time."""
+def _instants(y, mo, d, h, mi, s, frac, zone_text, zone) -> list[int]:
+    """The instants that given parts may mean, the earlier first; none if there is no such time."""
     if not (0 <= h <= 23 and 0 <= mi <= 59 and 0 <= s <= 59):
-        return None
+        return []
     try:
         date(y, mo, d)
-    except ValueError:
-        return None
-    if zone_text and zone_text.strip():
-        east = _offset(zone_text, zone)
-        if east is None:
-            return None
-        if isinstance(east, str):
-            base = _wall_hour(east, y, mo, d, h, mi)
+        if zone_text and zone_text.strip():
+            east = _offset(zone_text, zone)
+            if east is None:
+                return []
+            if isinstance(east, str):
+                bases = _wall(east, y, mo, d, h, mi)
+            else:
+                bases = (_micros(datetime(y, mo, d, h, mi, tzinfo=timezone.utc)) - east * 60_000_000,)
+        else:
+            bases = _wall(zone, y, mo, d, h, mi) if zone else ()
+    except (ValueError, OverflowError):
+        return []
+    return [base + s * 1_000_000 + frac for base in bases]
+
+
+def _numbers(whole: str, part: str | None) -> list[tuple[str, int]]:
+    """The instants of a bare number by unit."""
+    n, nanos = int(whole), int((part or "0")[:12].ljust(12, "0"))
+    out = []
+    for unit, size in UNITS.items():
+        us = (n * size + nanos * size // 10**12) // 1000
+        if abs(us) < FURTHEST_US:
+            out.append((unit, us))
+    return out
+
+
+def _parts(name: str, g: dict) -> list[tuple[str, tuple]]:
+    """(variant, (year, month, day)) that the date of a matched text may be."""
+    if name == "numeric":
+        a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
+        tries = []
+        if len(g["c"]) == 4:
+            tries = [("DMY", (c, b, a)), ("MDY", (c, a, b))]
         else:
-            base = _micros(datetime(y, mo, d, h, mi, tzinfo=timezone.utc)) - east * 60_000_000
-    elif zone:
-        base = _wall_hour(zone, y, mo, d, h, mi)
-    else:
+            if len(g["c"]) == 2:
+                tries = [("DMY", (2000 + c, b, a)), ("MDY", (2000 + c, a, b))]
+            if len(g["a"]) == 2:
+                tries.append(("YMD", (2000 + a, b, c)))
+        return tries
+    y = int(g["y"])
+    try:
+        if name == "week":
+            at = date.fromisocalendar(y, int(g["w"]), int(g["wd"]))
+            return [("", (at.year, at.month, at.day))]
+        if name == "ordinal":
+            at = date(y, 1, 1) + timedelta(days=int(g["yd"]) - 1)
+            return [("", (y, at.month, at.day))] if at.year == y else []
+        month = int(g["mo"]) if g.get("mo") else MONTHS.get((g["mon"] or "")[:3].lower())
+        if not month:
+            return []
+        y += 2000 if name == "group" else 0
+        day = int(g["d"])
+        if g.get("dow") and g["dow"][:3].lower() != date(y, month, day).strftime("%a").lower():
+            return []
+        return [("", (y, month, day))]
+    except (ValueError, OverflowError):
+        return []
+
+
+def _letter(z: str) -> str | None:
+    """The offset of a military letter: A to M without J go east, N to Y west, Z is UTC; J means nothing here."""
+    if z == "J":
         return None
-    return None if base is None else base + s * 1_000_000 + frac
-
+    east = 0 if z == "Z" else ("ABCDEFGHIKLM".find(z) + 1) or -("NOPQRSTUVWXY".find(z) + 1)
+    return f"{east:+03d}:00"
 
-def _number(whole: str, part: str | None) -> int | None:
-    n = int(whole)
-    for unit in (*UNITS, 0.001):
-        micros = n // 1000 if unit == 0.001 else n * unit + (int((part or "0")[:12].ljust(12, "0")) * unit // 10**12)
-        if abs(micros) < 4_102_444_800_000_000 and YEARS[0] <= (EPOCH + timedelta(microseconds=micros)).year < YEARS[1]:
-            return micros
-    return None
 
+def read(text: str | None, zone: str | None) -> tuple[str | None, list[tuple[str, int]]]:
+    """(the notation, all readings of the text as (kind, instant)).
 
-def read(text: str | None, zone: str | None) -> tuple[str | None, int | None, dict[str, int]]:
-    """(notation, the instant if the text has one meaning, the instants by date order if it is an all-number date).
-
-    A text in no known notation gives (None, None, {}); a known notation that names no existing time gives no instant.
+    A kind is the notation, for all-number dates with the date order (``numeric:DMY``), for bare numbers with the unit
+    (``number:s``), and with ``:later`` behind it for the second occurrence of a wall time that occurs twice. Every
+    notation is tried; the name returned is the first that fits. A text in no known notation gives (None, []), one that
+    names no existing time has no reading.
     """
-    t = (text or "").strip().strip("﻿​").strip()
-    if not t:
-        return None, None, {}
+    t = (text or "").strip().strip("\ufeff\u200b").strip()
+    first, out = None, []
+    if not t or len(t) > 200:
+        return first, out
     for name, pattern in NOTATIONS:
         m = pattern.fullmatch(t)
         if not m:
             continue
+        first = first or name
         g = m.groupdict()
         if name == "number":
-            return name, _number(g["n"], g["nf"]), {}
+            out += [(f"number:{unit}", us) for unit, us in _numbers(g["n"], g["nf"])]
+            continue
         h, mi, s = int(g.get("h") or 0), int(g.get("mi") or 0), int(g.get("s") or 0)
         frac = int((g.get("f") or "0")[:6].ljust(6, "0"))
         half = (g.get("ap") or "").lower() or {"오전": "a", "오후": "p"}.get(g.get("ko") or "", "")
         if half:
             if not 1 <= h <= 12:
-                return name, None, {}
+                continue
             h = h % 12 + (12 if half == "p" else 0)
-        rest = (h, mi, s, frac, g.get("z"), zone)
-        if name == "numeric":
-            a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
-            tries = {}
-            if len(g["c"]) == 4:
-                tries = {"DMY": (c, b, a), "MDY": (c, a, b)}
-            else:
-                if len(g["c"]) == 2:
-                    tries = {"DMY": (2000 + c, b, a), "MDY": (2000 + c, a, b)}
-                if len(g["a"]) == 2:
-                    tries["YMD"] = (2000 + a, b, c)
-            return name, None, {o: at for o, ymd in tries.items() if (at := _instant(*ymd, *rest)) is not None}
-        y = int(g["y"])
-        if name == "week":
-            try:
-                at = date.fromisocalendar(y, int(g["w"]), int(g["wd"]))
-            except ValueError:
-                return name, None, {}
-            return name, _instant(at.year, at.month, at.day, *rest), {}
-        if name == "ordinal":
-            at = date(y, 1, 1) + timedelta(days=int(g["yd"]) - 1) if y else None
-            if at is None or at.year != y:
-                return name, None, {}
-            return name, _instant(y, at.month, at.day, *rest), {}
-        month = int(g["mo"]) if g.get("mo") else MONTHS.get((g["mon"] or "")[:3].lower())
-        if not month:
-            return name, None, {}
+        z = g.get("z")
         if name == "group":
-            letter = g["z"]
-            if letter == "J":
-                east = None
-            else:  # military letters: A to M without J go east, N to Y west, Z is UTC
-                east = 0 if letter == "Z" else ("ABCDEFGHIKLM".find(letter) + 1) or -("NOPQRSTUVWXY".find(letter) + 1)
-            at = _instant(2000 + y, month, int(g["d"]), h, mi, 0, 0, None if east is None else f"{east:+03d}:00", zone)
-            return name, at, {}
-        at = _instant(y, month, int(g["d"]), *rest)
-        if at is not None and g.get("dow") and g["dow"][:3].lower() != date(y, month, int(g["d"])).strftime("%a").lower():
-            at = None
-        return name, at, {}
-    return None, None, {}
+            z = _letter(z)
+            if z is None:
+                continue
+        for variant, ymd in _parts(name, g):
+            kind = f"{name}:{variant}" if variant else name
+            for k, us in enumerate(_instants(*ymd, h, mi, s, frac, z, zone)):
+                out.append((kind + ":later" if k else kind, us))
+    return first, out

@@ -36,23 +36,32 @@ def event_totals(events: DataFrame, entities: Sequence[str], event_type: str, ti
     )
 
 
-def entity_features(totals: DataFrame, types: Sequence[str] = (), as_of: Column | None = None) -> DataFrame:
+#: Column of the wide table, while it is made, for the types that are not listed.
+UNLISTED = "(types not listed)"
+
+
+def entity_features(totals: DataFrame, types: Sequence[str], as_of: Column | None = None) -> DataFrame:
     """Pivot the long table: entity_id, n_links, first_time, last_time, recency_days, and a total per type.
 
-    The types are an explicit list, so no pass is spent on finding them; a type not listed counts in n_links only. A
-    type without events is 0. ``as_of`` is the time that recency is measured from; null times give a null recency.
+    The types are an explicit list, so no pass is spent on finding them; n_links is the sum over the wide row, in which
+    the types not listed share a column that is not kept. A type without events is 0. ``as_of`` is the time that
+    recency is measured from; null times give a null recency. A null entity or an empty table has no row.
     """
-    rows = totals.groupBy("entity_id").agg(
-        F.sum("n").alias("n_links"), F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time")
-    )
+    listed = list(dict.fromkeys(types))
+    # one shuffle of the compact table by entity serves the pivot, the times and their join; a hot entity has as many
+    # rows as types
+    by_entity = totals.where("entity_id IS NOT NULL").repartition("entity_id")
+    times = by_entity.groupBy("entity_id").agg(F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
     if as_of is not None:
         days = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_time").cast("timestamp"))
-        rows = rows.withColumn("recency_days", F.round(days / 86_400_000_000, 4))
-    if not types:
-        return rows
-    # one array per entity instead of hundreds of conditional sums; both sides are partitioned by the entity already
-    wide = totals.groupBy("entity_id").pivot("event_type", list(types)).agg(F.sum("n")).na.fill(0, list(types))
-    return rows.join(wide, "entity_id")
+        times = times.withColumn("recency_days", F.round(days / 86_400_000_000, 4))
+    kind = F.when(F.col("event_type").isin(listed), F.col("event_type")).otherwise(UNLISTED).alias("kind")
+    wide = by_entity.select("entity_id", kind, "n").groupBy("entity_id").pivot("kind", [*listed, UNLISTED]).agg(F.sum("n"))
+    named = [f"`{t.replace('`', '``')}`" for t in (*listed, UNLISTED)]
+    # one expression each: hundreds of single column objects cost seconds on the driver
+    n_links = f"aggregate(array({', '.join(named)}), 0L, (s, n) -> s + coalesce(n, 0L)) AS n_links"
+    wide = wide.selectExpr("entity_id", n_links, *[f"coalesce({c}, 0L) AS {c}" for c in named[:-1]])
+    return wide.join(times, "entity_id").selectExpr("entity_id", "n_links", *times.columns[1:], *named[:-1])
 
 
 def disagreements(stored: DataFrame, computed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terralace.operators.features import class_slug, disagreements, entity_features, event_totals, place_key
 from terralace.operators.references import orphan_report, orphans
 from terralace.operators.spatial import points_in_regions
-from terralace.operators.timestamps import normalise, readings
+from terralace.operators.timestamps import normalise
 from terralace.sources.tables import first_arrivals, table
 
 # The states a link can be in.
@@ -73,16 +73,20 @@ def p2_event_totals(spark: SparkSession, d: str) -> DataFrame:
     return event_totals(link_events(spark, d), ["place", "asset"], "event_type", "seen_at")
 
 
-def p2_features(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table: the types are every status with every class of the reference list (fixed, 60) or none."""
+def _event_types(spark: SparkSession, d: str) -> list[str]:
+    """Every status with every class of the reference list (fixed, 60) or none."""
     labels = [r[0] for r in table(spark, d, "class_labels").select("label").distinct().orderBy("label").collect()]
-    types = [f"{s}:{c.strip().lower().replace(' ', '_')}" for s in STATUSES for c in (*labels, "unknown object")]
+    return [f"{s}:{c.strip().lower().replace(' ', '_')}" for s in STATUSES for c in (*labels, "unknown object")]
+
+
+def p2_features(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table with recency at the latest pairing time."""
     now = table(spark, d, "pairing_records").agg(F.max("pairing_time")).first()[0]
-    return entity_features(p2_event_totals(spark, d), types, F.lit(now))
+    return entity_features(p2_event_totals(spark, d), _event_types(spark, d), F.lit(now))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return disagreements(table(spark, d, "graph_entities"), entity_features(p2_event_totals(spark, d)))
+    return disagreements(table(spark, d, "graph_entities"), entity_features(p2_event_totals(spark, d), _event_types(spark, d)))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -102,12 +106,12 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_normalised(spark: SparkSession, d: str) -> DataFrame:
-    return normalise(readings(_texts(spark, d)))
+    return normalise(_texts(spark, d))
 
 
 def p5_inferred_orders(spark: SparkSession, d: str) -> DataFrame:
     """As p5_normalised, with the declared orders withheld: the mixture of each station decides."""
-    return normalise(readings(_texts(spark, d).withColumn("declared", F.lit(None).cast("string"))))
+    return normalise(_texts(spark, d).withColumn("declared", F.lit(None).cast("string")))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
