@@ -15,43 +15,41 @@ from terralace.functions.keys import OUTER_BLANKS, hex_block, uuid_hex
 from terralace.sources.tables import month_of
 
 
-def key_runs(parents: DataFrame) -> DataFrame:
-    """Compress parent keys into contiguous runs.
+def distinct_keys(parents: DataFrame) -> DataFrame:
+    """Parent keys as places in blocks: parent_table, block, offset, arrived.
 
-    ``parents``: parent_table, digits (32 hex digits), arrived. Result: parent_table, block, run_start, run_end and
-    the array ``arrivals`` with the first arrival of each key of the run, in order. Runs end at block borders.
-    Repeated keys keep their first arrival; null keys drop out; an empty input gives no run.
+    ``parents``: parent_table, digits (32 hex digits), arrived. Repeated keys keep their first arrival; null keys drop out.
     """
     block, offset = hex_block(F.col("digits"))
-    keys = (
-        parents.where(F.col("digits").isNotNull())
-        .groupBy("parent_table", block.alias("block"), offset.alias("offset"))
-        .agg(F.min("arrived").alias("arrived"))
-    )
+    keys = parents.where(F.col("digits").isNotNull()).groupBy("parent_table", block.alias("block"), offset.alias("offset"))
+    return keys.agg(F.min("arrived").alias("arrived"))
+
+
+def key_runs(keys: DataFrame) -> DataFrame:
+    """Compress ``distinct_keys`` into contiguous runs: parent_table, block, run_start, run_end, latest.
+
+    ``latest`` is the latest first arrival of a key of the run. Runs end at block borders; an empty input gives no run.
+    """
     in_block = Window.partitionBy("parent_table", "block").orderBy("offset")
     # within a run of consecutive offsets, offset minus row number is constant
     numbered = keys.withColumn("run", F.col("offset") - F.row_number().over(in_block))
     return (
         numbered.groupBy("parent_table", "block", "run")
-        .agg(
-            F.min("offset").alias("run_start"),
-            F.max("offset").alias("run_end"),
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("offset", "arrived"))), lambda x: x["arrived"]
-            ).alias("arrivals"),
-        )
+        .agg(F.min("offset").alias("run_start"), F.max("offset").alias("run_end"), F.max("arrived").alias("latest"))
         .drop("run")
     )
 
 
-def match_as_of(wanted: DataFrame, runs: DataFrame) -> DataFrame:
+def match_as_of(wanted: DataFrame, keys: DataFrame) -> DataFrame:
     """Match each distinct reference (parent_table, digits, first_use) to the run that starts at or before it.
 
-    Adds ``found`` (the key lies inside that run) and ``arrived`` (its parent's first arrival).
+    Adds ``found`` (the key doesn't lie beyond the end of that run) and ``arrived``: its parent's first arrival, or null
+    where nothing of the run arrived after the first use. References carry no more of a run than its ends and its
+    latest arrival; only where that is too late for a reference, and the run has several keys, is the key itself looked up.
     """
     block, offset = hex_block(F.col("digits"))
-    run = F.struct("run_start", "run_end", "arrivals")
-    lines = runs.select(
+    run = F.struct("run_start", "run_end", "latest")
+    lines = key_runs(keys).select(
         "parent_table", "block", F.col("run_start").alias("offset"), F.lit(0).alias("kind"), run.alias("run"),
         F.lit(None).cast("string").alias("digits"), F.lit(None).cast(wanted.schema["first_use"].dataType).alias("first_use"),
     ).unionByName(
@@ -60,11 +58,17 @@ def match_as_of(wanted: DataFrame, runs: DataFrame) -> DataFrame:
     )
     as_of = Window.partitionBy("parent_table", "block").orderBy("offset", "kind").rowsBetween(Window.unboundedPreceding, 0)
     seen = lines.withColumn("run", F.last("run", ignorenulls=True).over(as_of)).where("kind = 1")
-    found = F.coalesce(F.col("offset") <= F.col("run.run_end"), F.lit(False))
-    return seen.select(
-        "parent_table", "digits", "first_use", found.alias("found"),
-        F.when(found, F.get(F.col("run.arrivals"), F.col("offset") - F.col("run.run_start"))).alias("arrived"),
-    )
+    late = F.col("run.latest") > F.col("first_use")
+    seen = seen.select(
+        "parent_table", "digits", "first_use", "block", "offset",
+        F.coalesce(F.col("offset") <= F.col("run.run_end"), F.lit(False)).alias("found"),
+        F.when(late, F.col("run.latest")).alias("latest"), (F.col("run.run_start") == F.col("run.run_end")).alias("single"),
+    ).withColumn("open", F.coalesce(F.col("found") & ~F.col("single") & F.col("latest").isNotNull(), F.lit(False)))
+    settled = seen.where("NOT open").withColumn("arrived", F.when(F.col("found"), F.col("latest")))
+    looked_up = seen.where("open").join(keys, ["parent_table", "block", "offset"])
+    looked_up = looked_up.withColumn("arrived", F.when(F.col("arrived") > F.col("first_use"), F.col("arrived")))
+    columns = ["parent_table", "digits", "first_use", "found", "arrived"]
+    return settled.select(*columns).unionByName(looked_up.select(*columns))
 
 
 def orphans(references: DataFrame, parents: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def orphans(references: DataFrame, parents: DataFrame, deleted: DataFrame) -> Da
     keyed = given.where(F.col("digits").isNotNull())
     wanted = keyed.groupBy("parent_table", "digits").agg(F.min("used_at").alias("first_use"))
     known = parents.select("parent_table", uuid_hex(F.col("id")).alias("digits"), "arrived")
-    verdicts = match_as_of(wanted, key_runs(known)).where("NOT found OR arrived > first_use")
+    verdicts = match_as_of(wanted, distinct_keys(known)).where("NOT found OR arrived > first_use")
     gone = deleted.select("parent_table", uuid_hex(F.col("id")).alias("digits"), F.lit(True).alias("gone")).distinct()
     verdicts = verdicts.join(gone, ["parent_table", "digits"], "left").select(
         "parent_table", "digits", "arrived",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralace.operators.features import class_slug, disagreements, entity_features, event_totals, place_key
 from terralace.operators.references import orphan_report, orphans
-from terralace.operators.spatial import points_in_regions
+from terralace.operators.spatial import points_in_regions, points_near_points
 from terralace.operators.timestamps import normalise
 from terralace.sources.tables import first_arrivals, table
 
@@ -131,6 +131,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return points_in_regions(points, regions, cover).select("rec_table", "rec_id", F.col("region_id").alias("site_id"))
 
 
+def p6_near_points(spark: SparkSession, d: str) -> DataFrame:
+    """Image centres at most 20 km from the centre of a circular site."""
+    img = first_arrivals(table(spark, d, "image_records"), "id", "ingestion_time", ["lat_center", "lon_center"])
+    points = img.select(F.col("id").alias("rec_id"), F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon"))
+    others = table(spark, d, "sites").where("shape = 'circle'").select(F.col("site_id").alias("near_id"), "lat", "lon")
+    return points_near_points(points, others, 20_000.0).select("rec_id", F.col("near_id").alias("site_id"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_orphan_report": p1_orphan_report,
@@ -141,6 +149,7 @@ QUERIES = {
     "p5_normalised": p5_normalised,
     "p5_inferred_orders": p5_inferred_orders,
     "p6_found": p6_found,
+    "p6_near_points": p6_near_points,
 }
 
 # The reference list of classes, for the SQL that p2_features is compared with (the query reads the table).
@@ -211,4 +220,8 @@ ORACLE = {
     + ", ".join(f"""count(*) FILTER (event_type = '{t}') AS "{t}\"""" for t in _TYPES)
     + " FROM x GROUP BY 1",
     "p6_found": _P6,
+    "p6_near_points": """WITH f AS (SELECT id AS rec_id, arg_min(lat_center, ingestion_time) AS lat, arg_min(lon_center, ingestion_time) AS lon FROM image_records GROUP BY id),
+    g AS (SELECT * FROM f WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0))
+    SELECT rec_id, site_id FROM g JOIN sites s ON s.shape = 'circle' AND abs(g.lat - s.lat) <= 0.19 AND 2 * 6371000.0 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - g.lat) / 2), 2)
+      + cos(radians(g.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - g.lon) / 2), 2)))) <= 20000""",
 }

@@ -4,7 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from terralace.functions.keys import hex_block, integer_hex, uuid_hex
-from terralace.operators.references import key_runs, match_as_of, orphan_report, orphans
+from terralace.operators.references import distinct_keys, key_runs, match_as_of, orphan_report, orphans
 from pyspark.sql import functions as F
 
 T0 = datetime(2024, 1, 31, 23, 0)
@@ -29,9 +29,9 @@ def test_spellings_of_a_key(spark):
 def test_runs_cover_consecutive_keys_and_end_at_blocks(spark):
     keys = [*range(5, 9), *range(65530, 65540), 70000, 70000, 2**40]
     df = spark.createDataFrame([("t", k, T0 + timedelta(seconds=k % 50)) for k in keys], "parent_table string, n long, arrived timestamp_ntz")
-    runs = key_runs(df.select("parent_table", integer_hex(F.col("n")).alias("digits"), "arrived")).collect()
-    got = sorted((int(r["block"], 16) * 65536 + r["run_start"], r["run_end"] - r["run_start"] + 1, len(r["arrivals"])) for r in runs)
-    assert got == [(5, 4, 4), (65530, 6, 6), (65536, 4, 4), (70000, 1, 1), (2**40, 1, 1)]
+    runs = key_runs(distinct_keys(df.select("parent_table", integer_hex(F.col("n")).alias("digits"), "arrived"))).collect()
+    got = sorted((int(r["block"], 16) * 65536 + r["run_start"], r["run_end"] - r["run_start"] + 1, (r["latest"] - T0).seconds) for r in runs)
+    assert got == [(5, 4, 8), (65530, 6, 35), (65536, 4, 39), (70000, 1, 0), (2**40, 1, 2**40 % 50)]
 
 
 def test_as_of_match_equals_lookup(spark):
@@ -41,8 +41,19 @@ def test_as_of_match_equals_lookup(spark):
     p = spark.createDataFrame([("t", k, T0 + timedelta(seconds=k % 97)) for k in parents], "parent_table string, n long, arrived timestamp_ntz")
     w = spark.createDataFrame([("t", k, T0) for k in wanted], "parent_table string, n long, first_use timestamp_ntz")
     digits = integer_hex(F.col("n")).alias("digits")
-    got = match_as_of(w.select("parent_table", digits, "first_use"), key_runs(p.select("parent_table", digits, "arrived"))).collect()
-    assert {int(r["digits"], 16): r["arrived"] for r in got} == {k: (T0 + timedelta(seconds=k % 97) if k in parents else None) for k in wanted}
+    got = match_as_of(w.select("parent_table", digits, "first_use"), distinct_keys(p.select("parent_table", digits, "arrived"))).collect()
+    assert {int(r["digits"], 16): r["found"] for r in got} == {k: k in parents for k in wanted}
+    assert {int(r["digits"], 16): r["arrived"] for r in got} == {k: (T0 + timedelta(seconds=k % 97) if k in parents and k % 97 else None) for k in wanted}
+
+
+def test_dense_keys_are_few_runs_and_carry_nothing_else(spark):
+    n = 3 * 65536
+    p = spark.range(n).select(F.lit("t").alias("parent_table"), integer_hex(F.col("id")).alias("digits"), F.timestamp_seconds(F.col("id") % 7).cast("timestamp_ntz").alias("arrived"))
+    keys = distinct_keys(p)
+    assert key_runs(keys).count() == 3
+    w = spark.range(0, 2 * n, 2).select(F.lit("t").alias("parent_table"), integer_hex(F.col("id")).alias("digits"), F.timestamp_seconds(F.lit(5)).cast("timestamp_ntz").alias("first_use"))
+    got = match_as_of(w, keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("found").alias("found"), F.count_if("arrived > first_use").alias("late")).first()
+    assert tuple(got) == (n, n // 2, sum(1 for k in range(0, n, 2) if k % 7 > 5))
 
 
 def test_defects(spark):

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from terralace.operators.spatial import grid_join, points_in_regions
+from terralace.operators.spatial import dual_tree_pairs, grid_join, points_in_regions, points_near_points, region_pieces
 
 REGION = "region_id long, shape string, lat double, lon double, radius_m double, lat_min double, lat_max double, lon_min double, lon_max double"
 POINT = "id long, lat double, lon double"
@@ -59,6 +59,32 @@ def test_coarse_trees_give_the_same(spark):
     assert deep == flat and (9000, 2) in deep
 
 
+def test_sure_nodes_are_accepted_at_their_level(spark):
+    regions = spark.createDataFrame([(1, "box", None, None, None, -90.0, 90.0, 0.0, 180.0), (2, "box", None, None, None, -90.0, 90.0, 10.0, 9.0)], REGION)
+    points = [(i, (i % 50) * 3.5 - 87, (i // 50) * 5.9 - 176.9) for i in range(3000)]
+    df = spark.createDataFrame(points, POINT)
+    pairs = dual_tree_pairs(df, region_pieces(regions.where("region_id = 1")))
+    assert pairs.count() <= 256 and {r["level"] for r in pairs.select("level").distinct().collect()} == {4}
+    for leaf in (14, 2):
+        got = sorted((r["id"], r["region_id"]) for r in points_in_regions(df, regions, leaf=leaf).collect())
+        want = [(i, 1) for i, _, lo in points if lo >= 0] + [(i, 2) for i, _, lo in points if lo >= 10 or lo <= 9]
+        assert got == sorted(want)
+
+
+def test_points_near_points_over_the_meridian_and_the_pole(spark):
+    rng = random.Random(8)
+    spot = lambda: (rng.choice([rng.gauss(89.8, 0.2), rng.gauss(10, 0.2), rng.gauss(-45, 0.2)]), rng.choice([rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(179.7, 180)]))
+    a, b = ([(i, min(90.0, la), lo) for i, (la, lo) in enumerate(spot() for _ in range(n))] for n in (300, 60))
+    a += [(900, None, 1.0), (901, 0.0, 0.0), (902, *b[0][1:]), (902, *b[0][1:])]
+    p = spark.createDataFrame(a, POINT).withColumn("near_id", F.lit("clash")).withColumn("region_id", F.lit(5))
+    o = spark.createDataFrame(b + [(800, None, 2.0), (None, 1.0, 1.0)], POINT).withColumnRenamed("id", "near_id")
+    got = sorted((r["id"], r["near_id"]) for r in points_near_points(p, o, 25_000.0).collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] is not None and x[0] != 901 and metres(*x[1:], *y[1:]) <= 25_000)
+    assert points_near_points(p.limit(0), o, 5.0).count() == 0
+    with pytest.raises(ValueError):
+        points_near_points(p, o, -1.0)
+
+
 def test_empty_sides(spark):
     r, p = spark.createDataFrame([], REGION), spark.createDataFrame([], POINT)
     one = spark.createDataFrame([(1, "circle", 1.0, 1.0, 10.0, None, None, None, None)], REGION)
