@@ -1,43 +1,214 @@
 """Evaluation texts that leak into a corpus.
 
-One pass over the texts keeps, of each document that shares any run of five words with a test item, its words as
-numbers of the items' vocabulary and the places of the shared runs. From these the document frequency of every run is
-counted over the whole corpus. Rare runs are seeds, and so is the rarest run of each fifteen-word window of an item.
-Seeds join documents to items; Smith-Waterman alignment scores what they find, whole copies and edited ones alike.
-
-Because every window of ``window`` consecutive words holds a seed, no copied window is missed however common all its
-runs are. Where edited copies are wanted too, down to a stated coverage, seeds don't decide: every document and item
-whose words in common allow that coverage are aligned over the whole text, with or without a shared run.
-The test items are the query side: they are stated sets of bounded size, handled in blocks.
+``copied`` finds copies of passages of ``window`` consecutive words. The items are a table of their runs of five words;
+the tasks get no more of it than a bit array of bounded size that says which runs any item may have. One scan of the
+texts, whatever the number of items, counts the documents of every such run and keeps the passages in which so many
+runs follow each other that they can hold a copied window: a few words around each, never the text. The rarest run of
+each window of an item, by the counts of the whole corpus, is its seed. Seeds join passages to items, Smith-Waterman
+alignment scores what they find. Every copied window holds a seed, so none is missed however common all its runs are.
+
+``leaks`` finds edited copies down to a stated coverage: every document and item whose words in common allow that
+coverage are aligned over the whole text, with or without a shared run. The test items are its query side: they are
+stated sets of bounded size, handled in blocks.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralace.llm.words import words
-from terralace.sources.tables import spread, written
+from terralace.sources.tables import small_enough, spread, written
 
 GRAM = 5
-#: Items handled at a time: their words and runs are sent to every task.
+#: Items handled at a time by ``leaks``: their words are sent to every task.
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: A run is rare if it is in at most this share of the documents.
-RARE_SHARE = 0.0002
-#: Words around the place of a seed that belong to the alignment, beyond the item's own length.
+#: Words around a passage that belong to its alignment.
 MARGIN = 24
 #: Words of text (with padding) that are aligned at a time.
 AT_ONCE = 32_768
+#: Bits of the array that says which runs the items have: 16 a run, within these bounds.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Distinct words whose hashes a task keeps, and counts of runs that it keeps before it hands them on.
+KEPT_WORDS, KEPT_RUNS = 500_000, 1_000_000
+
+
+class Hashes(dict):
+    """64-bit hashes of words, kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.uint64, sum(map(len, texts)))
+
+
+def run_hashes(flat: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each ``GRAM`` consecutive word hashes."""
+    h = np.zeros(max(0, len(flat) - GRAM + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(GRAM):
+            h = (h ^ flat[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def item_runs(items: DataFrame) -> DataFrame:
+    """The runs of items (item_id, text): item_id, words (hashes), place, run. Items of fewer words have none."""
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item_id"], batch["text"]):
+                flat = hashes.of([words(text)])
+                if len(flat) >= GRAM:
+                    out.append((item, flat.view(np.int64), run_hashes(flat).view(np.int64)))
+            yield pd.DataFrame(out, columns=["item_id", "words", "runs"])
+
+    return items.mapInPandas(cut, f"item_id {kind}, words array<long>, runs array<long>")
+
+
+def bits_of(runs: DataFrame) -> np.ndarray:
+    """The bit array of a column ``run``: made in parts by the tasks, put together at the driver; at most 16 MB."""
+    n = LEAST_BITS
+    while n < MOST_BITS and n < 16 * runs.count():
+        n *= 2
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(n, bool)
+        for batch in batches:
+            bits[batch["run"].to_numpy(np.int64).view(np.uint64) & np.uint64(n - 1)] = True
+        yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros(n // 8, np.uint8)
+    for r in runs.select("run").coalesce(4).mapInPandas(mark, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out).astype(bool)
+
+
+def _scan(bits: np.ndarray, need: int):
+    """The pass over the texts: rows with run and n (documents that have it), and rows with passages.
+
+    A passage is ``need`` or more runs in a row that items may have: doc_id, at (its first word), words (hashes, from
+    ``MARGIN`` words before it to as many behind it), start (place of the first of them in the text), runs.
+    """
+    mask = np.uint64(len(bits) - 1)
+    packed = np.packbits(bits)
+    size = len(bits)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, hashes = np.unpackbits(packed, count=size).astype(bool), Hashes()
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def counted() -> tuple[np.ndarray, np.ndarray]:
+            runs, back = np.unique(np.concatenate([r for r, _ in kept]), return_inverse=True)
+            return runs, np.bincount(back, np.concatenate([n for _, n in kept]), len(runs)).astype(np.int64)
+
+        for batch in batches:
+            texts = [words(t) for t in batch["text"]]
+            flat = hashes.of(texts)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            ends = np.cumsum(sizes)
+            owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+            out = []
+            if len(flat) >= GRAM:
+                runs = run_hashes(flat)
+                hit = bits[runs & mask] & (owner[: len(runs)] == owner[GRAM - 1 :])
+                at = np.flatnonzero(hit)
+                if len(at):
+                    order = np.lexsort((owner[at], runs[at]))
+                    r, o = runs[at][order], owner[at][order]
+                    fresh = np.concatenate(([True], (r[1:] != r[:-1]) | (o[1:] != o[:-1])))
+                    kept.append(np.unique(r[fresh], return_counts=True))
+                edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8)))
+                for low, high in zip(edges[::2], edges[1::2]):
+                    if high - low >= need:
+                        d = owner[low]
+                        first, last = ends[d] - sizes[d], ends[d]
+                        a, b = max(first, low - MARGIN), min(last, high + GRAM - 1 + MARGIN)
+                        out.append((batch["doc_id"].iloc[d], low - first, a - first, flat[a:b].view(np.int64), runs[low:high].view(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "at", "start", "words", "runs"]).assign(run=None, n=None)
+            if len(kept) > 1 and sum(len(r) for r, _ in kept) > KEPT_RUNS:
+                kept[:] = [counted()]
+                if len(kept[0][0]) > KEPT_RUNS // 2:
+                    yield _counts(*kept.pop())
+        if kept:
+            yield _counts(*counted())
+
+    return scan
+
+
+def _counts(runs: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": None, "at": None, "start": None, "words": None, "runs": None, "run": runs.view(np.int64), "n": n})
+
+
+def copied(documents: DataFrame, items: DataFrame, window: int = 15) -> DataFrame:
+    """Every document and test item that share ``window`` consecutive words, with the best alignment of the two.
+
+    ``documents``: doc_id, text; ``items``: item_id, text. Result: doc_id, item_id, score (Smith-Waterman: +2 equal
+    words, -1 unequal, -1 gap), coverage (score over that of the whole item), longest_run (equal consecutive words, at
+    least ``window``) and n_passages (of the document that hold such a copy). One row per document and item. Words are
+    equal if their 64-bit hashes are. Null and empty texts, and items of fewer words than ``window``, share nothing;
+    documents repeated under one id count as one; an item repeated under one id counts with its smallest text.
+    """
+    if window < GRAM:
+        raise ValueError(f"window must be at least {GRAM}")
+    listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
+    held = written(item_runs(listed).where(F.size("words") >= window), "items")
+    runs = held.select("item_id", F.posexplode("runs").alias("place", "run"))
+    need = window - GRAM + 1
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, at long, start long, words array<long>, runs array<long>, run long, n long"
+    texts = spread(documents.select("doc_id", "text"), "doc_id").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    scanned = written(texts.mapInPandas(_scan(bits_of(runs), need), schema), "scanned")
+    frequency = scanned.where("run IS NOT NULL").groupBy("run").agg(F.sum("n").alias("n"))
+    costs = runs.join(frequency, "run", "left").withColumn("cost", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))
+    ahead = Window.partitionBy("item_id").orderBy("place").rowsBetween(0, need - 1)
+    windows = costs.select("item_id", F.min("cost").over(ahead).alias("best"), F.count(F.lit(1)).over(ahead).alias("held"))
+    seeds = windows.where(F.col("held") == need).select("item_id", "best.run").distinct()
+    passages = scanned.where("doc_id IS NOT NULL")
+    # a document that repeats a passage, or one of many seeds in it, asks for its alignment once
+    wanted = passages.select("doc_id", "at", F.explode(F.array_distinct("runs")).alias("run")).join(seeds, "run").select("doc_id", "at", "item_id").distinct()
+    shown = held.select("item_id", F.col("words").alias("item_words"))
+    shown = F.broadcast(shown) if small_enough(shown) else shown
+    both = wanted.join(passages.select("doc_id", "at", "words"), ["doc_id", "at"]).join(shown, "item_id")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = []
+            for item, text in zip(batch["item_words"], batch["words"]):
+                # narrow numbers instead of hashes; 0 is a word that the item lacks
+                known, number = np.unique(item, return_inverse=True)
+                place = np.minimum(np.searchsorted(known, text), len(known) - 1)
+                pairs.append((number + 1, np.where(known[place] == text, place + 1, 0)))
+            got = align_all(pairs)
+            out = batch[["doc_id", "item_id"]].copy()
+            out["score"], out["longest_run"] = [g[0] for g in got], [g[2] for g in got]
+            out["coverage"] = [g[0] / (MATCH * len(item)) for g, item in zip(got, batch["item_words"])]
+            yield out
+
+    item_kind = items.schema["item_id"].dataType.simpleString()
+    columns = f"doc_id {kind}, item_id {item_kind}, score long, longest_run long, coverage double"
+    aligned = both.select("doc_id", "item_id", "words", "item_words").mapInPandas(judge, columns)
+    return aligned.where(F.col("longest_run") >= window).groupBy("doc_id", "item_id").agg(
+        F.max("score").alias("score"), F.max("coverage").alias("coverage"), F.max("longest_run").alias("longest_run"), F.count(F.lit(1)).alias("n_passages")
+    )
 
 
 class Items:
-    """The words of a block of test items, as numbers, and the places of their runs."""
+    """The words of a block of test items, as numbers."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
@@ -46,43 +217,6 @@ class Items:
             found = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if found:
                 self.numbers[item] = np.array(found, np.int64)
-        self.runs: dict[tuple[int, ...], int] = {}
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for item, n in self.numbers.items():
-            for at in range(max(1, len(n) - GRAM + 1)):
-                run = self.runs.setdefault(tuple(n[at : at + GRAM].tolist()), len(self.runs))
-                self.places[run].append((item, at))
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the runs of full length, sorted, and their numbers; equal hashes are told apart by ``exact``."""
-        full = [(r, k) for r, k in self.runs.items() if len(r) == GRAM]
-        if not full:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        hashes = mix(np.array([r for r, _ in full], np.int64))
-        order = np.argsort(hashes, kind="stable")
-        return hashes[order], np.array([k for _, k in full], np.int64)[order]
-
-
-def mix(runs: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row."""
-    h = np.zeros(len(runs), np.uint64)
-    with np.errstate(over="ignore"):
-        for c in runs.T:
-            h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-    return h
-
-
-def seeds_of(items: Items, frequency: dict[int, int], window: int, rare: float) -> set[int]:
-    """Runs in at most ``rare`` documents, and the rarest run of every window of every item (ties: the smaller number)."""
-    chosen = {r for r, n in frequency.items() if n <= rare}
-    for n in items.numbers.values():
-        runs = [items.runs[tuple(n[at : at + GRAM].tolist())] for at in range(max(1, len(n) - GRAM + 1))]
-        cost = [(frequency.get(r, 0), r) for r in runs]
-        span = max(1, window - GRAM + 1)
-        for at in range(max(1, len(runs) - span + 1)):
-            chosen.add(min(cost[at : at + span])[1])
-    return chosen
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -173,131 +307,46 @@ class Reach:
         return out
 
 
-def _shared(items: Items, coverage: float | None = None):
-    """The pass over the texts: doc_id, numbers (of its words), runs and places (of the shared runs), near.
-
-    near: places (in ``items.numbers``) of the items that can reach ``coverage``; none if it is not given.
-    """
-    reach = Reach(items, coverage) if coverage is not None else lambda n: []
-    hashes, numbers = items.table()
-    exact = {k: r for r, k in items.runs.items()}
-    short = {r: k for r, k in items.runs.items() if len(r) < GRAM}
+def _near(items: Items, coverage: float):
+    """The pass over the texts: every document and item that can reach the coverage, aligned over the whole text."""
+    reach = Reach(items, coverage)
     get = items.vocabulary.get
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                n = np.array([get(w, 0) for w in words(text)], np.int64)
-                hits: list[tuple[int, int]] = []
-                if len(n) >= GRAM and len(hashes):
-                    known = n > 0
-                    whole = np.flatnonzero(np.convolve(known, np.ones(GRAM, int), "valid") == GRAM)
-                    if len(whole):
-                        h = mix(n[whole[:, None] + np.arange(GRAM)])
-                        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-                        for w in np.flatnonzero(low < high):
-                            for k in range(low[w], high[w]):
-                                if exact[int(numbers[k])] == tuple(n[whole[w] : whole[w] + GRAM].tolist()):
-                                    hits.append((int(numbers[k]), int(whole[w])))
-                for r, k in short.items():
-                    hits += [(k, at) for at in range(len(n) - len(r) + 1) if tuple(n[at : at + len(r)].tolist()) == r]
-                near = reach(n)
-                if hits or near:
-                    out.append((doc, n.astype(np.int32), [k for k, _ in hits], [at for _, at in hits], near))
-            yield pd.DataFrame(out, columns=["doc_id", "numbers", "runs", "places", "near"])
-
-    return scan
-
-
-def holds(item: np.ndarray, text: np.ndarray, diagonals: set[int], window: int) -> bool:
-    """Whether ``window`` consecutive words are equal where the item lies in the text at one of the places."""
-    for at in diagonals:
-        same = item[max(0, -at) : len(text) - at] == text[max(0, at) : max(0, at + len(item))]
-        if len(same) >= window and (np.diff(np.flatnonzero(np.concatenate(([True], ~same, [True])))) > window).any():
-            return True
-    return False
-
-
-def _aligned(items: Items, seeds: set[int], window: int, whole: bool = False):
-    """The pass over the shared runs; ``whole``: only what is near or holds a window, aligned with the whole text."""
-    where = {k: items.places[k] for k in seeds}
     ids = list(items.numbers)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, pairs = [], []
-            for doc, numbers, runs, places, near in zip(*(batch[c] for c in ("doc_id", "numbers", "runs", "places", "near"))):
-                wanted: dict[int, list[int]] = defaultdict(list)
-                for k, at in zip(runs, places):
-                    for item, start in where.get(int(k), ()):
-                        wanted[item].append(int(at) - start)
-                for item in [ids[k] for k in near]:
-                    pairs.append((doc, item, numbers, len(wanted.pop(item, ()))))
-                for item, starts in wanted.items():
-                    n = items.numbers[item]
-                    if whole:
-                        if holds(n, numbers, set(starts), window):
-                            pairs.append((doc, item, numbers, len(starts)))
-                        continue
-                    best = (0, 0, 0)
-                    groups: list[list[int]] = []
-                    for s in sorted(starts):
-                        if groups and s - groups[-1][1] <= MARGIN:
-                            groups[-1][1] = s
-                        else:
-                            groups.append([s, s])
-                    longest = 0
-                    for low, high in groups:
-                        at = max(0, low - MARGIN)
-                        score, end, run = align(n, numbers[at : high + len(n) + MARGIN])
-                        longest = max(longest, run)
-                        if score > best[0]:
-                            best = (score, at + end, run)
-                    out.append((doc, item, best[0], best[0] / (MATCH * len(n)), longest, best[1], len(starts)))
-            got = align_all([(items.numbers[item], numbers) for _, item, numbers, _ in pairs])
-            for (doc, item, _, n_seeds), (score, end, longest) in zip(pairs, got):
-                out.append((doc, item, score, score / (MATCH * len(items.numbers[item])), longest, end, n_seeds))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "coverage", "longest_run", "doc_end", "n_seeds"])
+            pairs = []
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                n = np.array([get(w, 0) for w in words(text)], np.int64)
+                pairs += [(doc, ids[k], n.astype(np.int32)) for k in reach(n)]
+            got = align_all([(items.numbers[item], n) for _, item, n in pairs])
+            out = [
+                (doc, item, score, score / (MATCH * len(items.numbers[item])), longest, end)
+                for (doc, item, _), (score, end, longest) in zip(pairs, got)
+            ]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "score", "coverage", "longest_run", "doc_end"])
 
     return judge
 
 
-def leaks(
-    documents: DataFrame, items: DataFrame, window: int = 15, block: int = BLOCK_ITEMS, rare_share: float = RARE_SHARE,
-    coverage: float | None = None,
-) -> DataFrame:
-    """Every document and test item that share a rare run of words, with the alignment of the two.
+def leaks(documents: DataFrame, items: DataFrame, coverage: float = 0.5, block: int = BLOCK_ITEMS) -> DataFrame:
+    """Every document and test item whose alignment has at least ``coverage`` of the item's score, edited copies included.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Result: doc_id, item_id, score (Smith-Waterman: +2 equal
-    words, -1 unequal, -1 gap), coverage (score over that of the whole item), longest_run (equal consecutive words),
-    doc_end (word of the document after the best alignment) and n_seeds. All pairs that share ``window`` consecutive
-    words are among them, and all that share a run of five which at most ``rare_share`` of the documents have (or 20).
-    With ``coverage``, the result is all pairs that reach it, whatever runs they share (n_seeds may be 0), and all that
-    share ``window`` words, besides a few that come near; their alignment is that over the whole text. Null and empty texts share nothing; an item shorter than five words is looked for as a whole;
-    repeated documents each have their rows; an item repeated under one id counts with its smallest text.
+    words, -1 unequal, -1 gap), coverage (score over that of the whole item), longest_run (equal consecutive words) and
+    doc_end (word of the document after the best alignment). The alignment is that over the whole text. Null and empty
+    texts share nothing; repeated documents each have their rows; an item repeated under one id counts with its smallest
+    text. Every block of items reads the texts once.
     """
     listed = items.where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
-    rows = [(r["item_id"], r["text"]) for r in listed.orderBy("item_id").toLocalIterator()]
-    n_documents = documents.count()
     texts = spread(documents.select("doc_id", "text"), "doc_id")
-    parts = []
     kind = documents.schema["doc_id"].dataType.simpleString()
     item_kind = items.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, score long, coverage double, longest_run long, doc_end long, n_seeds long"
-    for at in range(0, max(1, len(rows)), block):
-        held = Items(rows[at : at + block])
-        shared = written(
-            texts.mapInPandas(
-                _shared(held, coverage), f"doc_id {kind}, numbers array<int>, runs array<int>, places array<int>, near array<int>"
-            ),
-            "shared-runs",
-        )
-        # at most one row per run of the block's items
-        frequency = shared.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").count()
-        seeds = seeds_of(held, {r["run"]: r["count"] for r in frequency.toLocalIterator()}, window, max(20.0, rare_share * n_documents))
-        parts.append(shared.mapInPandas(_aligned(held, seeds, window, coverage is not None), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    schema = f"doc_id {kind}, item_id {item_kind}, score long, coverage double, longest_run long, doc_end long"
+    out, rows = documents.sparkSession.createDataFrame([], schema), []
+    for r in chain(listed.orderBy("item_id").toLocalIterator(), [None]):
+        if r is not None:
+            rows.append((r["item_id"], r["text"]))
+        if rows and (r is None or len(rows) == block):
+            out, rows = out.unionByName(texts.mapInPandas(_near(Items(rows), coverage), schema)), []
+    return out.where(F.col("coverage") >= coverage)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terralace.llm.canonical import map_values
 from terralace.llm.cooccurrence import co_occurrence, surprise
-from terralace.llm.leakage import leaks
+from terralace.llm.leakage import copied, leaks
 from terralace.llm.nearest import nearest_in_time
 from terralace.llm.packing import containers, pack_texts
 from terralace.llm.sql import ORACLE  # noqa: F401
@@ -93,13 +93,11 @@ WINDOW = 15
 
 def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Documents and test items with their alignment, edited copies included: at least half of the item's score."""
-    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), WINDOW, coverage=0.5)
-    return found.where("coverage >= 0.5 OR longest_run >= 15").withColumn("coverage", F.round("coverage", 4))
+    return leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), 0.5).withColumn("coverage", F.round("coverage", 4))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    found = leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"), WINDOW)
-    return found.where(F.col("longest_run") >= WINDOW).select("doc_id", "item_id")
+    return copied(table(spark, d, "documents"), table(spark, d, "eval_items"), WINDOW).select("doc_id", "item_id")
 
 
 def p8_packed(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,10 @@ PASSAGE = re.compile("\\s*[\r\n\f\u2028\u2029]+\\s*")
 
 def plain(text: str | None) -> str:
     """Text without tags and unseen characters, in lower case."""
-    return TAG.sub("", text or "").translate(UNSEEN).lower()
+    text = text or ""
+    if "<" in text:
+        text = TAG.sub("", text)
+    return (text if text.isascii() else text.translate(UNSEEN)).lower()
 
 
 def words(text: str | None) -> list[str]:

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from terralace.llm.leakage import align, align_all, leaks
+from terralace.llm.leakage import align, align_all, copied, leaks
 from terralace.llm.words import passages, words
 
 
@@ -48,10 +48,26 @@ def test_no_copied_window_is_missed(spark):
     docs += [(900, None), (901, ""), (902, docs[3][1]), (903, ("w5 " * 3000) + docs[3][1]), (904, "so two words here")]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("runs", F.lit(2))
     i = spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 7):
-        found = leaks(d, i, 15, block)
-        assert {(r["doc_id"], r["item_id"]) for r in found.where("longest_run >= 15").collect()} == brute(docs, items, 15)
-    assert (904, 92) in {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    found = copied(d, i, 15).collect()
+    assert len(found) == len({(r["doc_id"], r["item_id"]) for r in found}) and all(r["longest_run"] >= 15 for r in found)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == brute(docs, items, 15)
+
+
+def test_many_items_take_one_scan(spark):
+    """50,000 items: no block of them, no vocabulary at the driver, the texts read by one stage only."""
+    n = 50_000
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5000))) for k in range(20)]).alias("text"))
+    docs = items.where("item_id % 1000 = 0").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("so it says "), "text", F.lit(" and so on")).alias("text"))
+    read = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    found = copied(docs.mapInPandas(counting, docs.schema), items, 15).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(k, k) for k in range(0, n, 1000)} and all(r["coverage"] == 1.0 for r in found)
+    assert read.value == n // 1000
 
 
 def test_edited_copies_score(spark):
@@ -64,6 +80,31 @@ def test_edited_copies_score(spark):
     assert set(got) == {1, 2, 4} and got[4]["coverage"] == 1.0 and got[1]["longest_run"] == 7 and got[1]["coverage"] > 0.7 and got[2]["coverage"] > 0.7
 
 
+def test_recall_of_planted_edits(spark):
+    """Copies with 5, 10 and 20 percent of the words changed, or with up to 40 words put in somewhere: 0.9 at least."""
+    rng = random.Random(12)
+    fill = lambda n: [f"f{rng.randrange(400)}" for _ in range(n)]
+    items = [[f"u{rng.randrange(900)}" for _ in range(rng.randrange(30, 90))] for _ in range(60)]
+    docs, want = [], {}
+    for k in range(400):
+        i = rng.randrange(60)
+        w = list(items[i])
+        way = rng.choice([0.05, 0.1, 0.2, "insertion"])
+        if way == "insertion":
+            at = rng.randrange(len(w))
+            w[at:at] = fill(rng.randrange(25, 41))
+        else:
+            for p in rng.sample(range(len(w)), max(1, round(way * len(w)))):
+                w[p : p + 1] = rng.choice([[], fill(1), fill(2)])
+        docs.append((k, " ".join(fill(rng.randrange(80)) + w + fill(rng.randrange(80)))))
+        want.setdefault(way, []).append((k, i))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(d, i).collect()}
+    for way, pairs in want.items():
+        assert sum(p in got for p in pairs) >= 0.9 * len(pairs), way
+
+
 def test_align_equals_the_table():
     rng = random.Random(3)
     for _ in range(60):
@@ -82,9 +123,10 @@ def test_align_equals_the_table():
 
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
-    assert leaks(d, i).count() == 0
-    assert leaks(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), i).count() == 0
-    assert leaks(d, spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
+    one, other = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    for find in (leaks, copied):
+        assert find(d, i).count() == 0 and find(one, i).count() == 0 and find(d, other).count() == 0
+    assert copied(one, other, 6).count() == 1 and copied(one, other, 7).count() == 0
 
 
 def test_common_runs_reach_the_coverage(spark):
@@ -104,7 +146,7 @@ def test_common_runs_reach_the_coverage(spark):
                 want.add((d, i, score, longest))
     dd, ii = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (20_000, 2):
-        got = leaks(dd, ii, 15, block, coverage=0.5).where("coverage >= 0.5").collect()
+        got = leaks(dd, ii, 0.5, block).collect()
         assert len(got) == len(want) > 100 and {(r["doc_id"], r["item_id"], r["score"], r["longest_run"]) for r in got} == want
     assert (150, 9) in {w[:2] for w in want} and (152, 9) not in {w[:2] for w in want}
 
