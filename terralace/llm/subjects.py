@@ -1,14 +1,16 @@
 """Subject areas of documents: a seeded non-negative factorisation of the passage-term matrix.
 
-Terms that labelled documents tie to a subject (against how often the subject occurs in documents of that language)
-anchor one component per subject. Over the passages of all documents, non-negative multiplicative updates then alternate
-between the mixtures of the passages and the terms of the components, the anchors being kept as prior mass. A document
-is about a subject if one of its passages has enough of it; a word in passing is not enough.
+The texts are read once: the matrix holds the terms of every passage of every document as hashes. Terms that labelled
+documents tie to a subject (against how often the subject occurs in documents of that language) anchor one component per
+subject. The updates then alternate over the passages of all documents, non-negative and multiplicative: mixtures of the
+passages for fixed components, components for fixed mixtures. The first of them is taken over the whole vocabulary: every
+term that the passages of a subject have clearly more often than others joins the components, with or without a label;
+the rest is background and leaves the matrix. The anchors are kept as prior mass. A document is about a subject if one
+of its passages has enough of it; a word in passing is not enough.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,98 +18,107 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terralace.llm.leakage import Hashes
 from terralace.llm.words import passages
 from terralace.sources.tables import spread, written
 
 #: Labelled documents that seeds are learnt from, at most (those with the smallest hashes of their ids).
 MOST_LABELLED = 200_000
 #: A term anchors if it is in this many labelled documents, and this many times as often under a subject as expected;
-#: where subjects are so few that this cannot be, with this part of its documents.
+#: where subjects are so few that this cannot be, with this part of its documents; and beyond so many deviations.
 LEAST_DOCUMENTS, LEAST_LIFT, LEAST_PURITY, LEAST_DEVIATIONS = 2, 4.0, 0.5, 3.0
-ROUNDS, INNER, LAST = 2, 4, 8
+#: A term without anchor joins by the same rule over passages, but clearer, as there are many more of them: beyond so many
+#: deviations, and with this part of its tie to one subject. It must be in this share of the passages (and this many), which
+#: bounds the components by the terms of a passage over the share, whatever the number of documents.
+LEAST_PASSAGES, TERM_SHARE, JOIN_DEVIATIONS, JOIN_PURITY = 5, 1e-4, 8.0, 0.8
+#: The alternation ends when no component moves by more than ``SETTLED`` of its mass, after ``ROUNDS`` at the latest.
+ROUNDS, SETTLED, INNER, LAST = 4, 0.02, 4, 8
 PRIOR = 1.0
 #: A passage is about a subject from this many of its terms, and this share of all its subject terms.
 LEAST_TERMS, LEAST_SHARE = 2.0, 0.4
+#: Sums of terms that a task keeps before it hands them on.
+KEPT_SUMS = 1_000_000
 
 
-def labelled_terms(documents: DataFrame, labels: DataFrame, bound: int = MOST_LABELLED) -> DataFrame:
-    """Counts of labelled documents: language, term (null for all documents), subject, weight.
+def passage_terms(documents: DataFrame) -> DataFrame:
+    """The matrix: doc_id, lang, terms (hashes, passage by passage), ends (of the passages). No row without a term."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for batch in batches:
+            out = []
+            for doc, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"]):
+                found = passages(text)
+                if found:
+                    out.append((doc, lang, hashes.of(found).view(np.int64), np.cumsum([len(p) for p in found])))
+            yield pd.DataFrame(out, columns=["doc_id", "lang", "terms", "ends"])
+
+    texts = spread(documents.select("doc_id", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), "text"), "doc_id")
+    return texts.mapInPandas(scan, f"doc_id {kind}, lang string, terms array<long>, ends array<int>")
+
 
-    A document with several subjects gives each an equal part of its weight of 1.
+def tied(seen: DataFrame, met: DataFrame, base: DataFrame, least: float, deviations: float = LEAST_DEVIATIONS, purity: float = 0.0) -> DataFrame:
+    """Terms tied to subjects: term, subject, tie (times as often as expected), all subjects of each term that has one.
+
+    ``seen``: term, subject, weight; ``met``: lang, term, weight; ``base``: lang, subject, share (of what is met in that
+    language). A term is kept if it is met ``least`` times and some subject passes the bounds above, with ``purity`` of
+    all its ties.
     """
-    marked = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL").groupBy("doc_id")
+    common = base.groupBy("subject").agg(F.sum("all").alias("common"))
+    common = common.crossJoin(F.broadcast(common.agg(F.sum("common").alias("total"))))  # one row
+    bounds = common.select("subject", F.least(F.lit(LEAST_LIFT), LEAST_PURITY * F.col("total") / F.col("common")).alias("bound"))
+    often = met.groupBy("term").agg(F.sum("weight").alias("n")).where(F.col("n") >= least - 1e-6)
+    # a row of base for every language and subject: few
+    expected = met.join(often, "term").join(F.broadcast(base), "lang").groupBy("term", "subject").agg(
+        F.sum(F.col("weight") * F.col("share")).alias("expected"), F.first("n").alias("n")
+    )
+    rows = expected.join(seen.groupBy("term", "subject").agg(F.sum("weight").alias("seen")), ["term", "subject"], "left")
+    rows = rows.na.fill(0.0, ["seen"]).join(F.broadcast(bounds), "subject").where("expected > 0")
+    flat = 0.5 / F.col("n")  # half a document more, spread as expected, so that one sight is no proof
+    lift = (F.col("seen") + flat * F.col("expected")) / (F.col("expected") * (1 + flat))
+    clear = F.col("seen") - F.col("expected") >= deviations * F.sqrt("expected")
+    rows = rows.withColumns({"tie": F.col("seen") / F.col("expected"), "fit": (lift >= F.col("bound")) & clear})
+    ties = rows.groupBy("term").agg(F.max(F.when(F.col("fit"), F.col("tie"))).alias("best"), F.sum("tie").alias("ties"))
+    return rows.join(ties.where(F.col("best") >= purity * F.col("ties")).select("term"), "term").select("term", "subject", "tie")
+
+
+def anchors(matrix: DataFrame, labels: DataFrame, subjects: list[str], bound: int = MOST_LABELLED) -> DataFrame:
+    """The anchoring terms: term, subject, tie. A document with several subjects gives each an equal part of its weight."""
+    marked = labels.where("doc_id IS NOT NULL").where(F.col("subject").isin(subjects)).groupBy("doc_id")
     marked = marked.agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     chosen = written(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound), "labelled")
-    # at most ``bound`` rows, so that no text is shuffled
-    texts = documents.select("doc_id", "text", F.coalesce(F.lower("lang"), F.lit("")).alias("lang")).join(F.broadcast(chosen), "doc_id")
+    # at most ``bound`` rows, so that the matrix is not shuffled
+    rows = matrix.join(F.broadcast(chosen), "doc_id").withColumn("part", 1 / F.size("subjects"))
+    rows = written(rows.select("lang", F.array_distinct("terms").alias("terms"), "subjects", "part"), "labelled-terms")
+    seen = rows.select("lang", F.explode("terms").alias("term"), "subjects", "part").select("lang", "term", F.explode("subjects").alias("subject"), "part")
+    seen = written(seen.groupBy("lang", "term", "subject").agg(F.sum("part").alias("weight")), "label-counts")
+    whole = rows.select("lang", F.explode("subjects").alias("subject"), "part").groupBy("lang", "subject").agg(F.sum("part").alias("all"))
+    met = seen.groupBy("lang", "term").agg(F.sum("weight").alias("weight"))
+    return tied(seen, met, _shares(whole, rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))), LEAST_DOCUMENTS)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text, lang, subjects in zip(batch["text"], batch["lang"], batch["subjects"]):
-                terms = {t for p in passages(text) for t in p}
-                for s in subjects:
-                    found[lang, None, s] += 1 / len(subjects)
-                    for t in terms:
-                        found[lang, t, s] += 1 / len(subjects)
-        yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "term", "subject", "weight"])
-
-    parts = texts.select("text", "lang", "subjects").mapInPandas(count, "lang string, term string, subject string, weight double")
-    return parts.groupBy("lang", "term", "subject").agg(F.sum("weight").alias("weight"))
-
-
-def anchors(counts: DataFrame, subjects: list[str]) -> tuple[list[str], np.ndarray]:
-    """The anchoring terms and their tie to each subject (columns sum to 1)."""
-    counts = written(counts, "label-counts")
-    whole = counts.where("term IS NULL").toPandas()
-    often = counts.where("term IS NOT NULL").groupBy("term").agg(F.sum("weight").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS - 1e-6)
-    # terms of the bounded sample of labelled documents that several of them have
-    rows = counts.join(often.select("term"), "term").toPandas()
-    place = {s: i for i, s in enumerate(subjects)}
-    base = {}
-    for lang, group in whole.groupby("lang"):
-        share = np.zeros(len(subjects))
-        for s, w in zip(group["subject"], group["weight"]):
-            if s in place:
-                share[place[s]] += w
-        base[lang] = share / max(share.sum(), 1e-9)
-    terms = sorted(set(rows["term"]))
-    number = {t: i for i, t in enumerate(terms)}
-    seen, expected = np.zeros((len(subjects), len(terms))), np.zeros((len(subjects), len(terms)))
-    for lang, t, s, w in zip(rows["lang"], rows["term"], rows["subject"], rows["weight"]):
-        if s in place:
-            seen[place[s], number[t]] += w
-            expected[:, number[t]] += w * base[lang]
-    lift = (seen + 0.5 * expected / np.maximum(expected.sum(0), 1e-9)) / np.maximum(expected * (1 + 0.5 / np.maximum(expected.sum(0), 1e-9)), 1e-9)
-    common = sum((base[lang] * group["weight"].sum() for lang, group in whole.groupby("lang")), np.zeros(len(subjects)))
-    bound = np.minimum(LEAST_LIFT, LEAST_PURITY * common.sum() / np.maximum(common, 1e-9))
-    clear = seen - expected >= LEAST_DEVIATIONS * np.sqrt(expected)  # no chance finding among the many terms
-    kept = ((lift >= bound[:, None]) & clear).any(0) if len(terms) else np.zeros(0, bool)
-    tie = np.where(expected > 0, seen / np.maximum(expected, 1e-9), 0)[:, kept]
-    return [t for t, k in zip(terms, kept) if k], tie / np.maximum(tie.sum(0), 1e-9)
-
-
-def compact(documents: DataFrame, terms: list[str]) -> DataFrame:
-    """The passage-term matrix of all documents: doc_id, terms (numbers, passage by passage), ends (of the passages)."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    number = {t: i for i, t in enumerate(terms)}
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = number.get
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                held: list[int] = []
-                ends: list[int] = []
-                for p in passages(text):
-                    held += [n for t in p if (n := get(t)) is not None]
-                    if len(held) > (ends[-1] if ends else 0):
-                        ends.append(len(held))
-                if held:
-                    out.append((doc, held, ends))
-            yield pd.DataFrame(out, columns=["doc_id", "terms", "ends"])
+def _shares(whole: DataFrame, met: DataFrame) -> DataFrame:
+    """lang, subject, all, share of all that is met (n) in the language."""
+    return whole.join(met, "lang").select("lang", "subject", "all", (F.col("all") / F.col("n")).alias("share"))
 
-    return spread(documents.select("doc_id", "text"), "doc_id").mapInPandas(scan, f"doc_id {kind}, terms array<int>, ends array<int>")
+
+class Components:
+    """Term hashes in order and their loadings, term x subject (columns sum to 1)."""
+
+    def __init__(self, rows: list, subjects: list[str]):
+        place = {s: i for i, s in enumerate(subjects)}
+        self.terms = np.array(sorted({r["term"] for r in rows}), np.int64)
+        tie = np.zeros((len(self.terms), len(subjects)))
+        if rows:
+            tie[np.searchsorted(self.terms, [r["term"] for r in rows]), [place[r["subject"]] for r in rows]] = [r["tie"] for r in rows]
+        tie /= np.maximum(tie.sum(1, keepdims=True), 1e-9)
+        self.prior = tie / np.maximum(tie.sum(0), 1e-9)
+
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """The places of term hashes, -1 for those in no component."""
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
 
 
 def _stacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +127,7 @@ def _stacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     offsets = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     ends = np.concatenate([np.asarray(e, np.int64) + o for e, o in zip(batch["ends"], offsets)])
     owner = np.repeat(np.arange(len(batch)), [len(e) for e in batch["ends"]])
-    return np.concatenate(list(batch["terms"])).astype(np.int64), np.concatenate(([0], ends[:-1])), owner
+    return np.concatenate(list(batch["terms"])), np.concatenate(([0], ends[:-1])), owner
 
 
 def mixtures(terms: np.ndarray, starts: np.ndarray, parts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +146,101 @@ def mixtures(terms: np.ndarray, starts: np.ndarray, parts: np.ndarray, rounds: i
     return mass, q
 
 
-def fit(matrix: DataFrame, tie: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Alternate the updates over all passages, starting from the anchors; term x subject, columns sum to 1."""
-    n_subjects, n_terms = tie.shape
-    prior = tie.T / np.maximum(tie.T.sum(0), 1e-9)
+def _about(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether passages are about subjects, and the shares of the subjects in them."""
+    share = mass / np.maximum(mass.sum(1, keepdims=True), 1e-9)
+    return (mass >= LEAST_TERMS - 1e-3) & (share >= LEAST_SHARE), share
+
+
+def widened(matrix: DataFrame, first: Components, subjects: list[str]) -> DataFrame:
+    """The first update of the components, over all terms of all passages: term, subject, tie of those that join.
+
+    Each passage that the anchors show to be about subjects gives its terms to them by its mixture; the terms of the
+    other passages are met under no subject.
+    """
+    parts = (first.prior + 1e-9).astype(np.float32)
+    n_subjects = len(subjects)
+
+    def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def summed(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            terms, back = np.unique(np.concatenate([t for t, _ in kept[lang]]), return_inverse=True)
+            mass = np.concatenate([m for _, m in kept[lang]])
+            return terms, np.stack([np.bincount(back, mass[:, s], len(terms)) for s in range(n_subjects + 1)], 1)
+
+        def rows(lang: str, terms: np.ndarray, mass: np.ndarray) -> pd.DataFrame:
+            t, s = np.nonzero(mass)
+            return pd.DataFrame({"lang": lang, "term": terms[t], "part": s, "weight": mass[t, s]})
+
+        for whole in batches:
+            for lang, batch in whole.groupby("lang", sort=False):
+                terms, starts, _ = _stacked(batch)
+                passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(terms)]))))
+                number = first.numbers(terms)
+                known = number >= 0
+                given = np.zeros((len(starts), n_subjects + 1))  # the last column: met at all
+                given[:, -1] = 1
+                if known.any():
+                    held, begin = np.unique(passage[known], return_index=True)
+                    mass, _ = mixtures(number[known], begin, parts, INNER)
+                    about, share = _about(mass)
+                    given[held, :-1] = np.where(about, share, 0)
+                # a term that a passage repeats counts once
+                order = np.lexsort((passage, terms))
+                t, p = terms[order], passage[order]
+                fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])))
+                t, p = t[fresh], p[fresh]
+                edges = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+                kept.setdefault(lang, []).append((t[edges], np.add.reduceat(given[p], edges, 0)))
+            for lang in list(kept):
+                if len(kept[lang]) > 8:
+                    kept[lang] = [summed(lang)]
+                    if len(kept[lang][0][0]) > KEPT_SUMS:
+                        yield rows(lang, *kept.pop(lang)[0])
+        for lang in kept:
+            yield rows(lang, *summed(lang))
+
+    sums = matrix.select("lang", "terms", "ends").mapInPandas(update, "lang string, term long, part int, weight double")
+    sums = written(sums.groupBy("lang", "term", "part").agg(F.sum("weight").alias("weight")), "term-sums")
+    names = F.array(*[F.lit(s) for s in subjects])
+    met = sums.where(F.col("part") == n_subjects).select("lang", "term", "weight")
+    seen = sums.where(F.col("part") < n_subjects).select("lang", "term", names[F.col("part")].alias("subject"), "weight")
+    n = matrix.groupBy("lang").agg(F.sum(F.size("ends")).alias("n"))
+    n_passages = n.agg(F.sum("n")).first()[0] or 0
+    # how often terms of a language are met under a subject, against how often they are met
+    whole = seen.groupBy("lang", "subject").agg(F.sum("weight").alias("all"))
+    base = _shares(whole, met.groupBy("lang").agg(F.sum("weight").alias("n")))
+    return tied(seen.drop("lang"), met, base, max(LEAST_PASSAGES, TERM_SHARE * n_passages), JOIN_DEVIATIONS, JOIN_PURITY)
+
+
+def compact(matrix: DataFrame, found: Components) -> DataFrame:
+    """The matrix over the terms of the components only: doc_id, terms (their places), ends."""
+    kind = matrix.schema["doc_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            terms, starts, owner = _stacked(batch)
+            number = found.numbers(terms)
+            passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(terms)]))))
+            held, sizes = np.unique(passage[number >= 0], return_counts=True)
+            docs = owner[held]
+            number = number[number >= 0].astype(np.int32)
+            rows, first = np.unique(docs, return_index=True)
+            ends = np.cumsum(sizes)
+            upto = np.concatenate((first[1:], [len(held)]))
+            begin = ends[first] - sizes[first] if len(rows) else ends
+            out = [(number[b : ends[u - 1]], ends[f:u] - b) for b, f, u in zip(begin, first, upto)] if len(rows) else []
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[rows], "terms": [t for t, _ in out], "ends": [e for _, e in out]})
+
+    return matrix.select("doc_id", "terms", "ends").mapInPandas(cut, f"doc_id {kind}, terms array<int>, ends array<int>")
+
+
+def fit(matrix: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Alternate the updates over all passages, starting from ``prior``; term x subject, columns sum to 1."""
+    n_terms, n_subjects = prior.shape
     parts = prior.copy()
     for _ in range(rounds):
         now = parts.astype(np.float32) + np.float32(1e-9)
@@ -159,12 +261,16 @@ def fit(matrix: DataFrame, tie: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
             yield pd.DataFrame({"term": t, "part": s, "mass": total[t, s]})
 
         sums = matrix.select("terms", "ends").mapInPandas(update, "term int, part int, mass double")
-        # the components themselves: one row per anchoring term and subject
+        # the components themselves: one row per term and subject
         rows = sums.groupBy("term", "part").agg(F.sum("mass").alias("mass")).toPandas()
         mass = np.zeros((n_terms, n_subjects))
         mass[rows["term"], rows["part"]] = rows["mass"]
-        parts = mass + PRIOR * prior * np.maximum(mass.sum(0), 1.0)
-        parts /= np.maximum(parts.sum(0), 1e-9)
+        new = mass + PRIOR * prior * np.maximum(mass.sum(0), 1.0)
+        new /= np.maximum(new.sum(0), 1e-9)
+        moved = np.abs(new - parts).sum(0).max()
+        parts = new
+        if moved <= SETTLED:
+            break
     return parts
 
 
@@ -182,8 +288,7 @@ def assign(matrix: DataFrame, parts: np.ndarray, subjects: list[str]) -> DataFra
                 continue
             terms, starts, owner = _stacked(batch)
             mass, _ = mixtures(terms, starts, now, LAST)
-            share = mass / np.maximum(mass.sum(1, keepdims=True), 1e-9)
-            about = (mass >= LEAST_TERMS - 1e-3) & (share >= LEAST_SHARE)
+            about, _ = _about(mass)
             first = np.searchsorted(owner, np.arange(len(batch)))
             whole = np.add.reduceat(mass, first, 0)
             any_about = np.logical_or.reduceat(about, first, 0)
@@ -196,17 +301,27 @@ def assign(matrix: DataFrame, parts: np.ndarray, subjects: list[str]) -> DataFra
     return matrix.mapInPandas(judge, f"doc_id {kind}, subject string, weight double, about boolean")
 
 
-def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Assign subject areas: doc_id, subject, weight, about.
 
     ``documents``: doc_id, text, lang; ``labels``: doc_id, subject, some of them wrong; ``areas``: subject. Subjects
     that no label names get no document. Null and empty texts, and texts without subject terms, have no row. Repeated
-    documents each have their rows. Without labels the result is empty.
+    documents each have their rows. Without labels the result is empty. ``rounds`` of 0 leaves out the updates of the
+    components: the anchors alone then decide.
     """
     subjects = sorted(r["subject"] for r in areas.where("subject IS NOT NULL").select("subject").distinct().collect())
-    terms, tie = anchors(labelled_terms(documents, labels), subjects)
     kind = documents.schema["doc_id"].dataType.simpleString()
-    if not terms:
-        return documents.sparkSession.createDataFrame([], f"doc_id {kind}, subject string, weight double, about boolean")
-    matrix = written(compact(documents, terms), "passage-terms")
-    return assign(matrix, fit(matrix, tie), subjects)
+    nothing = documents.sparkSession.createDataFrame([], f"doc_id {kind}, subject string, weight double, about boolean")
+    if not subjects:
+        return nothing
+    matrix = written(passage_terms(documents), "passage-terms")
+    seeds = anchors(matrix, labels, subjects).collect()  # the anchors: bounded by the labelled sample
+    if not seeds:
+        return nothing
+    found = Components(seeds, subjects)
+    if rounds:
+        known = set(found.terms.tolist())
+        joined = [r for r in widened(matrix, found, subjects).collect() if r["term"] not in known]
+        found = Components([*seeds, *joined], subjects)
+    held = written(compact(matrix, found), "subject-terms")
+    return assign(held, fit(held, found.prior, rounds), subjects)

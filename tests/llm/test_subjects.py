@@ -47,6 +47,34 @@ def test_held_out_documents(spark):
     assert shares <= 1.0001
 
 
+def test_the_alternation_finds_what_no_label_names(spark):
+    """Half of the terms of a subject are in no labelled document: with 0 rounds, texts that avoid the others are lost."""
+    rng = random.Random(5)
+    own = {s: [s + chr(97 + i) for i in range(16)] for s in SUBJECTS}
+    both = ["common" + chr(97 + i) for i in range(20)]
+    docs, labels, hidden = [], [], {}
+    for d in range(2400):
+        s = rng.choice(SUBJECTS)
+        if d < 400:  # labelled: the first half of the terms only
+            terms, n = own[s][:8], 8
+            labels.append((d, s))
+        elif d < 2000:  # both halves together, without labels
+            terms, n = own[s], 10
+        else:  # the second half only
+            terms, n = own[s][8:], 8
+            hidden[d] = s
+        docs.append((d, " ".join([rng.choice(terms) for _ in range(n)] + [rng.choice(both) for _ in range(12)]), "en"))
+    args = (
+        spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, subject string"),
+        spark.createDataFrame([(s,) for s in SUBJECTS], "subject string"),
+    )
+    found = lambda **kw: {(r["doc_id"], r["subject"]) for r in subject_areas(*args, **kw).where("about").collect()}
+    want = set(hidden.items())
+    got = found()
+    assert len(want & got) >= 0.97 * len(want) and sum(d in hidden for d, _ in got) <= 1.03 * len(want)
+    assert len(want & found(rounds=0)) <= 0.05 * len(want)
+
+
 def test_updates_stay_non_negative_and_sum_up():
     rng = np.random.default_rng(1)
     parts = rng.random((30, 4)).astype(np.float32)
