@@ -9,6 +9,7 @@ one per basket size; its upper tail is the p-value, and Benjamini-Hochberg gives
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import erfc
 
 import numpy as np
@@ -48,6 +49,8 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for items, times in zip(batch["items"], batch["times"]):
             held = np.sort(np.asarray(items, dtype=np.int64))
+            if len(held) and held[-1] > 0x7FFFFFFF:
+                raise OverflowError("more than 2**31 distinct items")
             # whole rows of the upper triangle, a bounded number of codes at a time
             rows = max(1, CHUNK_CODES // max(1, len(held)))
             for at in range(0, len(held) - 1, rows):
@@ -63,23 +66,71 @@ def _count_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush()
 
 
-def fit_null(frequencies: dict[int, int], sizes: dict[int, int], rounds: int = 500) -> tuple[dict[int, float], dict[int, float]]:
-    """Fit x per item frequency and y per basket size; both maps are value -> how many items or baskets have it."""
+#: Cells of the table of frequencies and sizes that are computed at a time.
+CELLS = 4_000_000
+#: Stand for the limits of x and y where a chance is 1 or 0 for sure.
+SURE, NEVER = 1e18, 1e-9
+
+
+def _peel(f: np.ndarray, nf: np.ndarray, k: np.ndarray, nk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x and y of items and baskets whose chances are 0 or 1 for sure, else nan; and what is left of frequencies and sizes.
+
+    A basket that holds every item left has them for sure, an item that is in every basket left likewise; taking them
+    out may make others so.
+    """
+    f, k = f.copy(), k.copy()
+    x, y = np.full(len(f), np.nan), np.full(len(k), np.nan)
+    while True:
+        items, baskets = nf[np.isnan(x)].sum(), nk[np.isnan(y)].sum()
+        for value, rest, many, other in ((y, k, nk, f), (x, f, nf, k)):
+            free = np.isnan(value)
+            sure = free & (rest >= (items if value is y else baskets))
+            value[sure] = SURE
+            value[free & ~sure & (rest <= 0)] = NEVER
+            if sure.any():
+                open_ = np.isnan(x if value is y else y)
+                other[open_] -= many[sure].sum()
+                break
+        else:
+            if not np.isnan(x).any() or not np.isnan(y).any() or ((f[np.isnan(x)] > 0).all() and (k[np.isnan(y)] > 0).all()):
+                return x, y, f, k
+
+
+def fit_null(frequencies: dict[int, int], sizes: dict[int, int], rounds: int = 20_000, error: float = 1e-5) -> tuple[dict[int, float], dict[int, float]]:
+    """Fit x per item frequency and y per basket size; both maps are value -> how many items or baskets have it.
+
+    Ends when every frequency and size is met to the relative ``error``; fails if it isn't after ``rounds``.
+    """
     f, nf = np.array(list(frequencies), float), np.array(list(frequencies.values()), float)
     k, nk = np.array(list(sizes), float), np.array(list(sizes.values()), float)
     if not len(f) or not len(k):
         return {}, {}
-    total = max(1.0, (f * nf).sum())
-    x, y = f / np.sqrt(total), k / np.sqrt(total)
+    sure_x, sure_y, left_f, left_k = _peel(f, nf, k, nk)
+    named = lambda x, y: (dict(zip(f.astype(int).tolist(), x.tolist())), dict(zip(k.astype(int).tolist(), y.tolist())))
+    open_x, open_y = np.isnan(sure_x), np.isnan(sure_y)
+    if not open_x.any() or not open_y.any():
+        return named(np.nan_to_num(sure_x, nan=NEVER), np.nan_to_num(sure_y, nan=NEVER))
+    whole_x, whole_y = sure_x, sure_y
+    f_open, nf, k_open, nk = left_f[open_x], nf[open_x], left_k[open_y], nk[open_y]
+    total = max(1.0, (f_open * nf).sum())
+    x, y = f_open / np.sqrt(total), k_open / np.sqrt(total)
+    step = max(1, CELLS // len(y))
+
+    def over_sizes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each frequency, the sum over baskets of y / (1 + x y)."""
+        return np.concatenate([(nk * y / (1 + x[i : i + step, None] * y)).sum(1) for i in range(0, len(x), step)])
+
+    def over_items(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For each size, the sum over items of x / (1 + x y)."""
+        return sum((nf[i : i + step, None] * x[i : i + step, None] / (1 + x[i : i + step, None] * y)).sum(0) for i in range(0, len(x), step))
+
     for _ in range(rounds):
-        x = f / (nk * y / (1 + x[:, None] * y)).sum(1)
-        new = k / (nf[:, None] * x[:, None] / (1 + x[:, None] * y)).sum(0)
-        if np.abs(new - y).max() <= 1e-12 * np.abs(new).max():
-            y = new
-            break
-        y = np.minimum(new, 1e12)
-        x = np.minimum(x, 1e12)
-    return dict(zip(f.astype(int).tolist(), x.tolist())), dict(zip(k.astype(int).tolist(), y.tolist()))
+        x = f_open / over_sizes(x, y)
+        y = k_open / over_items(x, y)
+        if np.abs(x * over_sizes(x, y) / f_open - 1).max() <= error and np.abs(y * over_items(x, y) / k_open - 1).max() <= error:
+            whole_x[open_x], whole_y[open_y] = x, y
+            return named(whole_x, whole_y)
+    raise RuntimeError(f"the null didn't settle in {rounds} rounds")
 
 
 def tail(q: np.ndarray, times: np.ndarray, least: int) -> float:
@@ -185,13 +236,14 @@ def surprise(pairs: DataFrame, occurrences: DataFrame, baskets: DataFrame, level
     tested = items * (items - 1) // 2
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        @lru_cache(maxsize=100_000)  # pairs with the same numbers are judged once
+        def judged_once(n_a: int, n_b: int, n_ab: int) -> tuple[float, float]:
+            q = (x[n_a] * ys / (1 + x[n_a] * ys)) * (x[n_b] * ys / (1 + x[n_b] * ys))
+            return float((q * times).sum()), max(1e-300, tail(q, times, n_ab))
+
         for batch in batches:
-            expected, p_values = [], []
-            for n_a, n_b, n_ab in zip(batch["n_a"], batch["n_b"], batch["n_ab"]):
-                q = (x[n_a] * ys / (1 + x[n_a] * ys)) * (x[n_b] * ys / (1 + x[n_b] * ys))
-                expected.append(float((q * times).sum()))
-                p_values.append(max(1e-300, tail(q, times, int(n_ab))))
-            out = batch.assign(expected=expected, p_value=p_values)
+            got = [judged_once(min(a, b), max(a, b), ab) for a, b, ab in zip(*(batch[c].tolist() for c in ("n_a", "n_b", "n_ab")))]
+            out = batch.assign(expected=[g[0] for g in got], p_value=[g[1] for g in got])
             yield out.assign(lift=out["n_ab"] / out["expected"])
 
     schema = "item_a string, item_b string, n_a long, n_b long, n_ab long, expected double, p_value double, lift double"

@@ -49,19 +49,23 @@ def _class_baskets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows.select(F.col("session_id").alias("basket"), F.col("object_class").alias("item")).distinct(), baskets
 
 
-def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of classes with their surprise."""
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
     occurrences, baskets = _class_baskets(spark, d)
     occurrences, baskets = written(occurrences, "occurrences"), written(baskets, "baskets")
-    pairs, _ = co_occurrence(occurrences, baskets)
-    return surprise(pairs, occurrences, baskets).withColumnsRenamed({"item_a": "class_a", "item_b": "class_b"})
+    pairs, n = co_occurrence(occurrences, baskets)
+    return surprise(pairs, occurrences, baskets).withColumnsRenamed({"item_a": "class_a", "item_b": "class_b"}), n
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of classes with their surprise."""
+    return _judged(spark, d)[0]
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    occurrences, baskets = _class_baskets(spark, d)
-    pairs, n = co_occurrence(written(occurrences, "occurrences"), written(baskets, "baskets"))
+    """Pairs that occur together more often than the fitted null expects, by item frequency and basket size, and often."""
+    judged, n = _judged(spark, d)
     often = (F.col("n_ab") >= 3) & (200 * F.col("n_ab") >= n) & (F.col("n_ab") * n >= 3 * F.col("n_a") * F.col("n_b"))
-    return pairs.where(often).select(F.col("item_a").alias("class_a"), F.col("item_b").alias("class_b"))
+    return judged.where((F.col("n_ab") > F.col("expected")) & often).select("class_a", "class_b")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

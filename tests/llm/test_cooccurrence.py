@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from terralace.llm import cooccurrence as c
 
@@ -38,6 +39,17 @@ def test_null_keeps_frequencies_and_sizes():
     for k in sizes:
         assert abs(sum(n * p(f, k) for f, n in freq.items()) - k) < 1e-3
     assert c.fit_null({}, {}) == ({}, {})
+    with pytest.raises(RuntimeError):
+        c.fit_null(freq, sizes, rounds=1)
+
+
+def test_the_null_decides_where_baskets_differ_in_size(spark):
+    """Two large baskets hold all items: by frequency alone their pairs look surprising, by basket size they don't."""
+    rows = [(f"big{b}", f"i{i:02d}") for b in range(3) for i in range(30)] + [(f"b{b}", f"i{b % 30:02d}") for b in range(300)]
+    o, baskets = spark.createDataFrame(rows, "basket string, item string"), spark.createDataFrame([(b,) for b in {r[0] for r in rows}], "basket string")
+    pairs, n = c.co_occurrence(o, baskets)
+    got = c.surprise(pairs, o, baskets).collect()
+    assert all(r["n_ab"] * n >= 3 * r["n_a"] * r["n_b"] * 0.5 for r in got) and not any(r["surprising"] for r in got)
 
 
 def test_tails():

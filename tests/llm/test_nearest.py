@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from terralace.llm.nearest import nearest_in_time, rings
+from terralace.llm.nearest import first_width, nearest_in_time, rings
 
 
 def brute(left, right, tolerance):
@@ -16,7 +16,7 @@ def brute(left, right, tolerance):
     return out
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 200_000), (2, 5)])
+@pytest.mark.parametrize("seed, hot", [(1, 50_000_000), (2, 50)])
 def test_equals_brute_force(spark, seed, hot):
     rng = random.Random(seed)
     when = lambda: rng.choice([None, rng.randrange(20_000), rng.randrange(20_000), -rng.randrange(500)])
@@ -26,10 +26,20 @@ def test_equals_brute_force(spark, seed, hot):
     l = spark.createDataFrame(left, "left_id string, key string, t_us long").selectExpr("*", "1 AS bucket", "2 AS r_us")  # noqa: E741
     r = spark.createDataFrame(right, "right_id string, key string, t_us long")
     for tolerance, first in ((120, None), (120, 1), (7, 100), (0, None)):
-        got = {x["left_id"]: (x["right_id"], x["gap_us"]) for x in nearest_in_time(l, r, tolerance, first, hot, hot).collect()}
+        got = {x["left_id"]: (x["right_id"], x["gap_us"]) for x in nearest_in_time(l, r, tolerance, first, hot).collect()}
         assert got == brute(left, right, tolerance)
 
 
+def test_first_width_follows_the_data(spark):
+    schema = "key string, r_us long, right_id string"
+    sparse = spark.createDataFrame([("k", i * 1_000_000, f"r{i}") for i in range(50)], schema)
+    dense = spark.createDataFrame([("k", i * 10, f"r{i}") for i in range(5000)], schema)
+    assert first_width(sparse, 120_000) == (120_000, 1)
+    width, most = first_width(dense, 120_000)
+    assert width < 1_000 and most <= width // 10 + 1
+    assert first_width(sparse.limit(0), 7) == (7, 0)
+
+
 def test_rings_double_up_to_the_tolerance():
     assert rings(120, 15) == [15, 30, 60, 120] and rings(100, 15) == [15, 30, 60, 100] and rings(10, 50) == [10]
 
