@@ -120,3 +120,65 @@ def mask_runs(pixels: Column) -> Column:
     """Runs [value, length] of a flat array."""
     start = F.filter(F.transform(pixels, lambda p, i: F.when((i == 0) | (F.get(pixels, i - 1) != p), i)), lambda i: i.isNotNull())
     return F.transform(start, lambda at, k: F.array(F.get(pixels, at), F.coalesce(F.get(start, k + 1), F.size(pixels)) - at))
+
+
+def mask_box(m: Column) -> Column:
+    """The box of the pixels that are set, x1, y1, x2, y2, both ends included; null if none is.
+
+    Read off the runs: a run that goes over the end of a row reaches from edge to edge.
+    """
+    width = F.get(m["shape"], F.lit(1)).cast("long")
+    start = F.struct(
+        F.lit(0).cast("long").alias("at"), *[F.lit(None).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")]
+    )
+
+    def step(s: Column, r: Column) -> Column:
+        a, z = s["at"], s["at"] + r[1] - 1
+        top, bottom = F.floor(a / width), F.floor(z / width)
+        left = F.when(top < bottom, F.lit(0)).otherwise(F.pmod(a, width)).cast("long")
+        right = F.when(top < bottom, width - 1).otherwise(F.pmod(z, width)).cast("long")
+        on = (r[0] > 0) & (r[1] > 0)
+        grow = lambda f, c, v: F.when(on, f(F.coalesce(s[c], v), v)).otherwise(s[c]).alias(c)
+        return F.struct(
+            (s["at"] + r[1]).cast("long").alias("at"), grow(F.least, "x1", left), grow(F.least, "y1", top), grow(F.greatest, "x2", right), grow(F.greatest, "y2", bottom)
+        )
+
+    b = F.aggregate(m["rle"], start, step)
+    return F.when(b["x1"].isNotNull(), F.struct(*[b[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")]))
+
+
+def box_pixels(b: Column, shape: Column) -> Column:
+    """A flat mask of the shape [height, width] that is set inside a box, both ends included."""
+    height, width = F.get(shape, F.lit(0)), F.get(shape, F.lit(1))
+    inside = lambda i: F.pmod(i, width).between(b["x1"], b["x2"]) & F.floor(i / width).between(b["y1"], b["y2"])
+    return F.when(height * width > 0, F.transform(F.sequence(F.lit(0), height * width - 1), lambda i: inside(i).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
+def mask_iou(a: Column, b: Column) -> Column:
+    """Intersection over union of two flat masks; null if both are empty."""
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) & (y > 0)).cast("int")), F.lit(0), lambda s, v: s + v)
+    either = F.aggregate(F.zip_with(a, b, lambda x, y: ((x > 0) | (y > 0)).cast("int")), F.lit(0), lambda s, v: s + v)
+    return F.try_divide(both.cast("double"), either)
+
+
+def geo_box(b: tuple, width: Column, height: Column, extent: tuple) -> Column:
+    """A pixel box as north, west, south, east of an extent (south, north, west, east); null where anything is unknown."""
+    south, north, west, east = extent
+    w, h = F.when(width > 0, width.cast("double")), F.when(height > 0, height.cast("double"))
+    lat = lambda y: north - y / h * (north - south)
+    lon = lambda x: west + x / w * (east - west)
+    out = {"north": lat(b[1]), "west": lon(b[0]), "south": lat(b[3]), "east": lon(b[2])}
+    known = out["north"].isNotNull() & out["west"].isNotNull() & out["south"].isNotNull() & out["east"].isNotNull()
+    return F.when(known, F.struct(*[v.alias(k) for k, v in out.items()]))
+
+
+def scaled_size(width: Column, height: Column, most_width: int, most_height: int) -> Column:
+    """The largest size of the same proportions within the bounds, never smaller than it is: width, height."""
+    scale = F.least(F.lit(float(most_width)) / width, F.lit(float(most_height)) / height)
+    grown = lambda c: F.when(scale <= 1, c).otherwise((c * scale).cast("int"))
+    return F.struct(grown(width).alias("width"), grown(height).alias("height"))
+
+
+def row_key(*columns: str) -> Column:
+    """A key that is the same whenever the values are: sha2 of the values as texts; null is unlike any text but ``~``."""
+    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)

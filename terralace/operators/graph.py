@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralace.sources.tables import written
@@ -83,3 +83,116 @@ def overlapping_communities(members: DataFrame, local: DataFrame, k: int = 5) ->
     size = members.groupBy("component").agg(F.count(F.lit(1)).alias("n_members"))
     shared = members.join(local.select("node").distinct(), "node").groupBy("component").agg(F.count(F.lit(1)).alias("overlap"))
     return shared.join(size, "component").orderBy(F.desc("overlap"), F.desc("n_members"), "component").limit(k)
+
+
+def extract(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of links: two compact tables, the same whatever order the links come in.
+
+    ``links``: session_id, place (a cell), slug (a class in lower case), status, confidence, seen_at. Entities: id,
+    entity_type, observation_count, confidence_sum, first_seen, last_seen; every link belongs to its place (``loc:``)
+    and to its class there (``asset:``). Relations: source_id, target_id, relation_type, n, confidence_sum:
+    ``found_at`` from asset to place, with a link each, and ``co_occurred_with`` between two assets of one place, once
+    with the smaller id first, with the sessions they were both seen in. A null place has neither; a null session is in
+    no joint sighting.
+    """
+    rows = links.where("place IS NOT NULL").withColumns(
+        {"loc": F.concat(F.lit("loc:"), "place"), "asset": F.concat(F.lit("asset:"), "slug", F.lit(":"), "place")}
+    )
+    both = F.explode(F.array(F.struct(F.col("loc").alias("id"), F.lit("location").alias("entity_type")), F.struct(F.col("asset").alias("id"), F.lit("asset").alias("entity_type")))).alias("e")
+    entities = rows.select(both, "confidence", "seen_at").groupBy("e.id", "e.entity_type").agg(
+        F.count(F.lit(1)).alias("observation_count"), F.sum("confidence").alias("confidence_sum"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen")
+    )
+    found = rows.groupBy(F.col("asset").alias("source_id"), F.col("loc").alias("target_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("confidence_sum"))
+    seen = rows.where("session_id IS NOT NULL").select("session_id", "place", "asset").distinct()
+    other = seen.withColumnRenamed("asset", "asset_b")
+    # the assets of one session at one place are as few as classes
+    joint = seen.join(other, ["session_id", "place"]).where("asset < asset_b").groupBy(F.col("asset").alias("source_id"), F.col("asset_b").alias("target_id"))
+    joint = joint.agg(F.count(F.lit(1)).alias("n")).withColumn("confidence_sum", F.lit(None).cast("double"))
+    relations = found.withColumn("relation_type", F.lit("found_at")).unionByName(joint.withColumn("relation_type", F.lit("co_occurred_with")))
+    return entities, relations
+
+
+def relation_rollup(relations: DataFrame) -> DataFrame:
+    """One row per source, target and type: n added up, first and last time, and the set of locations in order.
+
+    ``relations``: source_id, target_id, kind, n, created_at, updated_at, locations (array). Null ends are kept.
+    """
+    places = relations.select("source_id", "target_id", "kind", F.explode_outer("locations").alias("place")).groupBy("source_id", "target_id", "kind")
+    places = places.agg(F.array_sort(F.collect_set("place")).alias("locations"))  # distinct places before they are gathered
+    sums = relations.groupBy("source_id", "target_id", "kind").agg(F.sum("n").alias("n"), F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+    keys = ["source_id", "target_id", "kind"]
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    return sums.alias("a").join(places.alias("b"), same[0] & same[1] & same[2]).select(*[f"a.{k}" for k in keys], "n", "created_at", "updated_at", "locations")
+
+
+def community_profile(members: DataFrame, entities: DataFrame, top: int = 4) -> DataFrame:
+    """Per component: its commonest classes as a label, how many cells it lies in, and the sum of observations.
+
+    ``members``: node, component; ``entities``: id, object_class, cell, observation_count. A class counts with its
+    observations, an entity without a count with one. Ties go to the class that comes first.
+    """
+    rows = members.join(entities, members["node"] == entities["id"]).select("component", "object_class", "cell", "observation_count")
+    counts = rows.groupBy("component", "object_class").agg(F.sum(F.coalesce("observation_count", F.lit(1))).alias("n"))
+    place = F.row_number().over(Window.partitionBy("component").orderBy(F.desc("n"), "object_class"))
+    best = counts.where("object_class IS NOT NULL").withColumn("place", place).where(F.col("place") <= top)
+    part = F.concat("object_class", F.lit("("), F.col("n").cast("string"), F.lit(")"))
+    labels = best.groupBy("component").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", part.alias("part")))), lambda x: x["part"]), ", ").alias("label"))
+    sums = rows.groupBy("component").agg(F.count_distinct("cell").alias("n_cells"), F.sum(F.coalesce("observation_count", F.lit(0))).alias("n_observations"))
+    return sums.join(labels, "component", "left")
+
+
+def context(near: DataFrame, key: str, cap: int = 12, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """What is known around places, as two tables: the most observed entities of each, and its class totals.
+
+    ``near``: ``key``, id, object_class, observation_count, of the entities near each place. First: key, place (rank), id,
+    object_class, observation_count, the ``cap`` most observed. Second: key, object_class, n_entities, total, the ``top``
+    classes by total. Ties go to the smaller id or class.
+    """
+    rows = near.withColumn("observation_count", F.coalesce("observation_count", F.lit(0)))
+    order = Window.partitionBy(key).orderBy(F.desc("observation_count"), "id")
+    listed = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cap).select(key, "place", "id", "object_class", "observation_count")
+    totals = rows.groupBy(key, "object_class").agg(F.count(F.lit(1)).alias("n_entities"), F.sum("observation_count").alias("total"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("total"), "object_class"))
+    return listed, totals.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
+
+
+class GraphIndex:
+    """A graph kept in a folder: entities and relations by key, indexed batch by batch.
+
+    Every batch of links is written as a part of its own; what is read adds the parts up, so a batch that is indexed
+    again under its name takes the place of its earlier rows, and no batch rewrites another.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def index(self, links: DataFrame, batch: str) -> None:
+        """Add the links of a batch, or put them in the place of the batch of that name."""
+        for name, rows in zip(("entities", "relations"), extract(links)):
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def reindex(self, batches: dict[str, DataFrame]) -> None:
+        """Start again from these batches."""
+        self.clear()
+        for batch, links in batches.items():
+            self.index(links, batch)
+
+    def entities(self) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.folder}/entities")
+        return rows.groupBy("id", "entity_type").agg(
+            F.sum("observation_count").alias("observation_count"), F.sum("confidence_sum").alias("confidence_sum"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")
+        )
+
+    def relations(self) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.folder}/relations")
+        return rows.groupBy("source_id", "target_id", "relation_type").agg(F.sum("n").alias("n"), F.sum("confidence_sum").alias("confidence_sum"))
+
+    def stats(self) -> DataFrame:
+        """How many entities and relations there are of each type: kind, n, total."""
+        e = self.entities().groupBy(F.col("entity_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("observation_count").alias("total"))
+        return e.unionByName(self.relations().groupBy(F.col("relation_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("total")))
+
+    def clear(self) -> None:
+        """Remove all batches."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

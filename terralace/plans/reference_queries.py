@@ -209,7 +209,6 @@ def anti_unlinked(spark: SparkSession, d: str) -> DataFrame:
 def batches_before(spark: SparkSession, d: str) -> DataFrame:
     """Most recent earlier frame near each frame: of its own session if there is one, else of any."""
     f = frames(spark, d).where("capture_time IS NOT NULL AND lat_center IS NOT NULL AND lon_center IS NOT NULL AND NOT (lat_center = 0 AND lon_center = 0)")
-    # places are revisited: the candidates are the distinct times of a cell, one frame for each
     mine = f.select("id", F.col("session_id").alias("s"), F.col("capture_time").alias("t"), F.col("lat_center").alias("q_lat"), F.col("lon_center").alias("q_lon"))
     other = f.select(F.col("id").alias("prev_id"), F.col("session_id").alias("prev_s"), F.col("capture_time").alias("prev_t"), F.col("lat_center").alias("lat"), F.col("lon_center").alias("lon"))
     near = near_square(other, mine, 0.02).where("prev_t < t")
@@ -314,18 +313,21 @@ def one_to_one_rounds(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_in_rounds(c, ["image_id"]).select("left_id", "right_id", "score")
 
 
-def staged_pairs(spark: SparkSession, d: str) -> DataFrame:
+def _stages(spark: SparkSession, d: str) -> list[DataFrame]:
     """Box overlap first, then pixels between the centres, less than twice the longest side of the earlier box, then
     closeness in degrees: what a stage takes isn't open to the next."""
     pairs = _pairs_of_frames(spark, d, near=False).where("iou > 0.25 OR moved < 2 * side OR score IS NOT NULL")
     c = written(pairs.select("image_id", "left_id", "right_id", "iou", "moved", "side", "score"), "pairs")
     ends = ["image_id", "left_id", "right_id"]
-    stages = [c.where("iou > 0.25").select(*ends, F.col("iou").alias("score")), c.where("moved < 2 * side").select(*ends, (-F.col("moved")).alias("score")), c.select(*ends, "score")]
-    return matching.staged_match(stages, ["image_id"]).select("left_id", "right_id", "stage")
+    return [c.where("iou > 0.25").select(*ends, F.col("iou").alias("score")), c.where("moved < 2 * side").select(*ends, (-F.col("moved")).alias("score")), c.where("score IS NOT NULL").select(*ends, "score")]
 
 
-def linked_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The whole linking of each frame with the previous one of its session."""
+def staged_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return matching.staged_match(_stages(spark, d), ["image_id"]).select("left_id", "right_id", "stage")
+
+
+def _linked(spark: SparkSession, d: str, scored, **rules) -> DataFrame:
+    """Each frame linked with the previous one of its session."""
     f = frames(spark, d).select("id", "capture_time", "lat_min", "lat_max", "lon_min", "lon_max")
     prev = previous_frame(spark, d)
     o = observations(spark, d).select("id", "image_id", F.trim("object_class").alias("label"), "lat", "lon", "detection_time")
@@ -339,9 +341,36 @@ def linked_frames(spark: SparkSession, d: str) -> DataFrame:
     both = written(both, "frame-pairs")
     cur = o.join(both.withColumn("image_id", F.col("pair_id")), "image_id").select("pair_id", *pick("cur", "old"))
     old = o.join(both.withColumn("image_id", F.col("prev_id")), "image_id").select("pair_id", *pick("old", "cur"))
-    scored = _pairs_of_frames(spark, d).select(F.col("image_id").alias("pair_id"), "left_id", "right_id", "score")
-    # the window of an observation's time starts with its frame: later rows of the past frame are left out by the rule
-    return matching.link_frames(cur, old, scored, FIXED_CLASSES, late_s=120)
+    # an observation is written up to two minutes after its frame was taken; what is later was not seen in it
+    return matching.link_frames(cur, old, scored, FIXED_CLASSES, late_s=120, **rules)
+
+
+def linked_frames(spark: SparkSession, d: str) -> DataFrame:
+    """The whole linking by score."""
+    return _linked(spark, d, _pairs_of_frames(spark, d).select(F.col("image_id").alias("pair_id"), "left_id", "right_id", "score"))
+
+
+def tracked_links(spark: SparkSession, d: str) -> DataFrame:
+    """The whole linking by boxes: overlap, pixels between centres, degrees; fixed classes by place only."""
+    return _linked(spark, d, [s.withColumnRenamed("image_id", "pair_id") for s in _stages(spark, d)], fixed_by_place_only=True)
+
+
+def cross_checked(spark: SparkSession, d: str) -> DataFrame:
+    """Linking by score, then a second look at what is unmatched; the confidence stands for the similarity."""
+    o = observations(spark, d).select(F.col("id").alias("obs_id"), F.col("confidence").alias("similarity"))
+    links_ = written(linked_frames(spark, d), "links")
+    seen = links_.select("pair_id", F.explode(F.array_compact(F.array("current_id", "past_id"))).alias("obs_id")).join(o, "obs_id")
+    return matching.cross_check(links_, seen, 0.8)
+
+
+def box_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps between boxes of one class in a frame and the previous one that are at most 20 pixels apart."""
+    prev = previous_frame(spark, d)
+    o = observations(spark, d).select("id", "image_id", F.lower(F.trim("object_class")).alias("label"), *[F.col(f"bbox_{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    old = o.select(*[F.col(c).alias(f"p_{c}") for c in o.columns])
+    both = o.join(prev.withColumnRenamed("id", "image_id"), "image_id").join(old, (F.col("prev_id") == F.col("p_image_id")) & (F.col("label") == F.col("p_label")))
+    across, down = G.gaps(G.box(), G.box("p_"))
+    return both.select("id", F.col("p_id").alias("past_id"), F.round(across, 3).alias("across"), F.round(down, 3).alias("down")).where("across <= 20 AND down <= 20")
 
 
 def best_links(spark: SparkSession, d: str) -> DataFrame:
@@ -596,7 +625,7 @@ QUERIES = {
         row_counts, filter_optional, filter_in_or_null, not_synthetic, quality_filter, point_in_extent, shaped_links, running_labels, json_props,
         meta_parse, file_groups, pixel_to_geo, geo_to_pixels, mask_areas, frame_tiles, suppressed, contained_merged, adjacent_merged, frame_counts,
         semi_frames, anti_unlinked, batches_before, latest_observations_near, latest_frame_near, previous_frame, has_earlier_frame,
-        link_batch_before, within_tolerance, sites_near_frames, scored_pairs, best_iou, one_to_one, one_to_one_rounds, staged_pairs, linked_frames,
+        link_batch_before, within_tolerance, sites_near_frames, scored_pairs, best_iou, one_to_one, one_to_one_rounds, staged_pairs, linked_frames, tracked_links, cross_checked, box_gaps,
         best_links, change_status, lineage, sessions_near, class_summary, status_counts, session_summary, common_classes, top_with_rest,
         latest_link_batch, entity_rollup, relation_rollup, cooccurrence, graph_edges, components, communities, local_search, global_search,
         sentence_counts, text_chunks, vector_top_k, dml_partial_update, dml_delete, dml_replace, dml_remap, dml_merge, stream_tumbling,

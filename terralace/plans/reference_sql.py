@@ -36,6 +36,59 @@ pr AS (SELECT a.image_id, a.id AS left_id, b.id AS right_id, a.label, sqrt(pow(a
   least(greatest({_AREA.format("a")}, 1e-6), greatest({_AREA.format("b")}, 1e-6)) / greatest(greatest({_AREA.format("a")}, 1e-6), greatest({_AREA.format("b")}, 1e-6)) AS size
   FROM bx a JOIN prev ON prev.id = a.image_id JOIN bx b ON b.image_id = prev.prev_id AND b.label = a.label),
 pairs AS (SELECT *, round(greatest(0.0, 1 - far / 0.01) * 0.8 + size * 0.2, 6) AS score FROM pr WHERE far <= 0.01)"""
+# all pairs of one class in a frame and the previous one; places that are not given have no distance
+_ALL = f"""{_FR}, {_OB}, {_PREV},
+bx AS (SELECT id, image_id, lower(trim(object_class, ' ')) AS label, CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) THEN lat END AS lat,
+  CASE WHEN lat IS NOT NULL AND lon IS NOT NULL AND NOT (lat = 0 AND lon = 0) THEN lon END AS lon, bbox_x1 AS x1, bbox_y1 AS y1, bbox_x2 AS x2, bbox_y2 AS y2 FROM ob WHERE object_class IS NOT NULL),
+ap AS (SELECT a.image_id, a.id AS left_id, b.id AS right_id, a.label, sqrt(pow(a.lat - b.lat, 2) + pow(a.lon - b.lon, 2)) AS far,
+  round({_OVER} / ({_AREA.format("a")} + {_AREA.format("b")} - {_OVER} + 1e-6), 6) AS iou,
+  least(greatest({_AREA.format("a")}, 1e-6), greatest({_AREA.format("b")}, 1e-6)) / greatest(greatest({_AREA.format("a")}, 1e-6), greatest({_AREA.format("b")}, 1e-6)) AS size,
+  sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) AS moved, greatest(b.x2 - b.x1, b.y2 - b.y1, 1.0) AS side,
+  greatest(0.0, greatest(a.x1, b.x1) - least(a.x2, b.x2)) AS across, greatest(0.0, greatest(a.y1, b.y1) - least(a.y2, b.y2)) AS down
+  FROM bx a JOIN prev ON prev.id = a.image_id JOIN bx b ON b.image_id = prev.prev_id AND b.label = a.label),
+al AS (SELECT *, CASE WHEN far <= 0.01 THEN round(greatest(0.0, 1 - far / 0.01) * 0.8 + size * 0.2, 6) END AS score FROM ap)"""
+# candidates (image_id, k, left_id, right_id, score) matched stage by stage: one fold in the order of stage and score
+_STAGED = """sg AS (SELECT image_id, list({'l': left_id, 'r': right_id, 's': score, 'k': k} ORDER BY k, score DESC, left_id, right_id) AS c FROM cands GROUP BY image_id),
+sm AS (SELECT image_id, unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x:
+  CASE WHEN len(list_filter(acc, lambda q: q.l = x[1].l OR q.r = x[1].r)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS m FROM sg)"""
+# both sides of each pair of frames, with the extent of the other frame
+_SIDES = f"""fp AS (SELECT prev.id AS pair_id, prev_id, c.lat_min AS cs, c.lat_max AS cn, c.lon_min AS cw, c.lon_max AS ce, p.capture_time AS pt, p.lat_min AS ps, p.lat_max AS pn, p.lon_min AS pw, p.lon_max AS pe
+  FROM prev JOIN fr c ON c.id = prev.id JOIN fr p ON p.id = prev_id),
+cu AS (SELECT pair_id, ob.id, lower(coalesce(trim(object_class, ' '), '')) AS label, lat, lon, ps AS s, pn AS n, pw AS w, pe AS e FROM ob JOIN fp ON image_id = pair_id),
+ol AS (SELECT pair_id, ob.id, lower(coalesce(trim(object_class, ' '), '')) AS label, lat, lon, cs AS s, cn AS n, cw AS w, ce AS e FROM ob JOIN fp ON image_id = prev_id WHERE coalesce(detection_time, pt) <= pt + INTERVAL 120 SECOND),
+fx AS (SELECT cu.pair_id AS image_id, 0 AS k, cu.id AS left_id, ol.id AS right_id, -sqrt(pow(cu.lat - ol.lat, 2) + pow(cu.lon - ol.lon, 2)) AS score FROM cu JOIN ol ON cu.pair_id = ol.pair_id AND cu.label = ol.label
+  WHERE cu.label IN {_FIXED} AND sqrt(pow(cu.lat - ol.lat, 2) + pow(cu.lon - ol.lon, 2)) <= 0.001 AND cu.s IS NOT NULL AND cu.n IS NOT NULL AND cu.w IS NOT NULL AND cu.e IS NOT NULL
+  AND ol.s IS NOT NULL AND ol.n IS NOT NULL AND ol.w IS NOT NULL AND ol.e IS NOT NULL)"""
+_LINKS = """li AS (SELECT image_id AS pair_id, m.l AS current_id, m.r AS past_id, 'matched' AS status, CASE WHEN m.k = 0 THEN 1.0 ELSE m.s END AS score FROM sm
+  UNION ALL SELECT pair_id, id, NULL, CASE WHEN coalesce(lat BETWEEN s AND n AND lon BETWEEN w AND e, true) THEN 'new' ELSE 'past_not_included' END, NULL FROM cu WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.image_id = cu.pair_id AND sm.m.l = cu.id)
+  UNION ALL SELECT pair_id, NULL, id, CASE WHEN coalesce(lat BETWEEN s AND n AND lon BETWEEN w AND e, true) THEN 'disappeared' ELSE 'current_not_included' END, NULL FROM ol WHERE NOT EXISTS (SELECT 1 FROM sm WHERE sm.image_id = ol.pair_id AND sm.m.r = ol.id))"""
+_SCORED = f"""WITH {_ALL}, {_SIDES}, cands AS (SELECT * FROM fx UNION ALL SELECT image_id, 1, left_id, right_id, score FROM al WHERE score > 0.5 AND right_id IN (SELECT id FROM ol)), {_STAGED}, {_LINKS}"""
+_THREE = """SELECT image_id, {0} AS k, left_id, right_id, iou AS score FROM al WHERE iou > 0.25 {3} UNION ALL SELECT image_id, {1}, left_id, right_id, -moved FROM al WHERE moved < 2 * side {3}
+  UNION ALL SELECT image_id, {2}, left_id, right_id, score FROM al WHERE score IS NOT NULL {3}"""
+
+
+def _merged(joins: str, together: str) -> str:
+    """Boxes of a label merged by sweeps until none is left: a fold per sweep, repeated by recursion.
+
+    ``joins`` tests a kept box q and the box x[1]; ``together`` is what q becomes.
+    """
+    first = f"list_position(list_transform(acc, lambda q: {joins}), true)"
+    sweep = f"""list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN coalesce({first}, 0) = 0 THEN list_concat(acc, x)
+      ELSE list_concat(list_concat(acc[1:{first} - 1], list_transform(acc[{first}:{first}], lambda q: {together})), acc[{first} + 1:]) END)"""
+    return f"""WITH RECURSIVE {_OB}, b AS (SELECT image_id AS frame_id, lower(coalesce(lower(trim(object_class, ' ')), '')) AS label, list({{'i': id, 's': confidence, 'x1': bbox_x1, 'y1': bbox_y1, 'x2': bbox_x2, 'y2': bbox_y2}} ORDER BY confidence DESC, id) AS c
+        FROM ob WHERE image_id IS NOT NULL AND confidence IS NOT NULL AND bbox_x1 IS NOT NULL AND bbox_y1 IS NOT NULL AND bbox_x2 IS NOT NULL AND bbox_y2 IS NOT NULL GROUP BY 1, 2),
+      r AS (SELECT frame_id, label, c, 0 AS before FROM b UNION ALL SELECT frame_id, label, {sweep}, len(c) FROM r WHERE before <> len(c)),
+      z AS (SELECT frame_id, label, unnest(c) AS k FROM r WHERE before = len(c))"""
+
+
+_QX = "(greatest(least(q.x2, x[1].x2) - greatest(q.x1, x[1].x1), 0.0) * greatest(least(q.y2, x[1].y2) - greatest(q.y1, x[1].y1), 0.0))"
+_QA, _XA = "((q.x2 - q.x1) * (q.y2 - q.y1))", "((x[1].x2 - x[1].x1) * (x[1].y2 - x[1].y1))"
+_LARGER = ", ".join(f"'{c}': CASE WHEN {_QA} >= {_XA} THEN q.{c} ELSE x[1].{c} END" for c in ("x1", "y1", "x2", "y2"))
+_CONTAINED = _merged(f"{_QX} > 0 AND {_QX} / (least({_QA}, {_XA}) + 1e-6) >= 0.99", f"{{'i': q.i, 's': greatest(q.s, x[1].s), {_LARGER}}}")
+_ADJACENT = _merged(
+    "greatest(0.0, greatest(q.x1, x[1].x1) - least(q.x2, x[1].x2)) <= 5 AND greatest(0.0, greatest(q.y1, x[1].y1) - least(q.y2, x[1].y2)) <= 5",
+    "{'i': q.i, 's': greatest(q.s, x[1].s), 'x1': least(q.x1, x[1].x1), 'y1': least(q.y1, x[1].y1), 'x2': greatest(q.x2, x[1].x2), 'y2': greatest(q.y2, x[1].y2)}",
+)
 # greedy one-to-one matching as a fold over the candidates of a frame in order
 _GREEDY = """g AS (SELECT image_id, list({'l': left_id, 'r': right_id, 's': score} ORDER BY score DESC, left_id, right_id) AS c FROM pairs WHERE score > 0.5 GROUP BY image_id),
 m AS (SELECT unnest(list_reduce(list_transform(c, lambda x: [x]), lambda acc, x:
@@ -112,7 +165,16 @@ ORACLE = {
     "sites_near_frames": f"""WITH {_FR}, {_PL}, j AS (SELECT id AS image_id, site_id, sqrt(pow(lat_center - q_lat, 2) + pow(lon_center - q_lon, 2)) AS g FROM fr JOIN pl ON {_near(0.05, "lat_center", "lon_center")})
       SELECT image_id, site_id, round(g, 6) AS distance FROM j WHERE g <= 0.05""",
     "scored_pairs": f"WITH {_PAIRS} SELECT left_id, right_id, score FROM pairs WHERE score > 0.5",
-    "best_iou": f"WITH {_PAIRS} SELECT right_id, max({{'s': iou, 'l': left_id}}).l AS left_id, max(iou) AS iou FROM pairs WHERE iou >= 0.1 GROUP BY right_id",
+    "best_iou": f"WITH {_ALL} SELECT right_id, max({{'s': iou, 'l': left_id}}).l AS left_id, max(iou) AS iou FROM al WHERE iou >= 0.1 GROUP BY right_id",
+    "box_gaps": f"WITH {_ALL} SELECT left_id AS id, right_id AS past_id, round(across, 3) AS across, round(down, 3) AS down FROM al WHERE round(across, 3) <= 20 AND round(down, 3) <= 20",
+    "staged_pairs": f"WITH {_ALL}, cands AS ({_THREE.format(0, 1, 2, '')}), {_STAGED} SELECT m.l AS left_id, m.r AS right_id, CAST(m.k AS INT) AS stage FROM sm",
+    "linked_frames": f"{_SCORED} SELECT * FROM li",
+    "tracked_links": f"WITH {_ALL}, {_SIDES}, cands AS (SELECT * FROM fx UNION ALL {_THREE.format(1, 2, 3, f'AND label NOT IN {_FIXED} AND right_id IN (SELECT id FROM ol)')}), {_STAGED}, {_LINKS} SELECT * FROM li",
+    "cross_checked": f"""{_SCORED}, x AS (SELECT li.*, ob.confidence AS c, status IN ('new', 'disappeared') AND coalesce(ob.confidence >= 0.8, false) AS synthetic, coalesce(current_id, past_id) AS o FROM li LEFT JOIN ob ON ob.id = coalesce(current_id, past_id))
+      SELECT pair_id, CASE WHEN synthetic THEN coalesce(current_id, 'synthetic-' || left(sha256(pair_id || '|' || o), 16)) ELSE current_id END AS current_id, CASE WHEN synthetic THEN coalesce(past_id, 'synthetic-' || left(sha256(pair_id || '|' || o), 16)) ELSE past_id END AS past_id,
+        CASE WHEN synthetic THEN 'matched' ELSE status END AS status, CASE WHEN synthetic THEN c ELSE score END AS score, synthetic FROM x""",
+    "contained_merged": f"{_CONTAINED} SELECT frame_id, k.i AS box_id, label, k.s AS score FROM z",
+    "adjacent_merged": f"{_ADJACENT} SELECT frame_id, k.i AS box_id, label, k.s AS score, k.x1 AS x1, k.x2 AS x2 FROM z",
     "one_to_one": f"WITH {_PAIRS}, {_GREEDY} SELECT k.l AS left_id, k.r AS right_id, k.s AS score FROM m",
     "one_to_one_rounds": f"WITH {_PAIRS}, {_GREEDY} SELECT k.l AS left_id, k.r AS right_id, k.s AS score FROM m",
     "best_links": f"""WITH {_LK}, x AS (SELECT id, nullif(trim(current_detection_id), '') AS c, nullif(trim(past_detection_id), '') AS p,

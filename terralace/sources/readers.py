@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The keys of a metadata entry that have columns of their own.
@@ -65,7 +65,7 @@ def coco_boxes(annotations: DataFrame, classes: list[str] | None = None) -> Data
     Images and categories are joined by id; annotations of other classes and empty boxes are left out.
     """
     image = annotations.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
-    name = annotations.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    name = annotations.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("label")).distinct()
     box = annotations.select(F.explode("annotations").alias("a")).select("a.image_id", "a.category_id", "a.bbox")
     out = box.join(image, "image_id").join(name, "category_id").where("bbox[2] > 0 AND bbox[3] > 0")
     if classes is not None:
@@ -85,6 +85,23 @@ def crop_pairs(files: DataFrame) -> DataFrame:
     return side("A").join(side("B"), "stem")
 
 
+def build_metadata(files: DataFrame, radius: float, size: float, start: str) -> DataFrame:
+    """Metadata entries of files (part, id, capture_time, lat_center, lon_center): bounds, and ``place`` by time.
+
+    The bounds reach ``radius`` degrees from the centre. A file that shows part of the scene from west to east (the
+    column ``start`` is where it begins, ``size`` how much it is, as parts of the whole) gets the bounds and centre of
+    that part. ``place`` numbers the files of a part and day by time, the oldest first.
+    """
+    span = 2 * radius
+    west = F.col("lon_center") - radius + F.col(start) * span
+    east = F.col("lon_center") - radius + (F.col(start) + size) * span
+    order = Window.partitionBy("part", F.to_date("capture_time")).orderBy("capture_time", "id")
+    return files.withColumns({
+        "lat_min": F.col("lat_center") - radius, "lat_max": F.col("lat_center") + radius, "lon_min": west, "lon_max": east,
+        "lon_center": (west + east) / 2, "place": F.row_number().over(order),
+    })
+
+
 def write_vectors(chunks: DataFrame, path: str, model: str) -> None:
     """A vector store: chunks with their vectors as parquet, and a row about how it was made."""
     chunks.write.mode("overwrite").parquet(f"{path}/chunks")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terralace.operators.boxes import merge_adjacent, merge_contained, multi_scale, nms, tiles
-from terralace.operators.matching import dedup_by_priority, greedy_match, link_frames, match_in_rounds, staged_match
+from terralace.operators.matching import cross_check, dedup_by_priority, dedup_links, greedy_match, link_frames, match_in_rounds, staged_match
 from terralace.plans import reference_queries as queries
 
 PAST, NOW, FUTURE = datetime(2024, 1, 1, 6), datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 18)
@@ -65,8 +65,9 @@ P = [("p1", "a", 10.0, 20.0, PAST), ("p2", "b", 10.0, 20.0, PAST)]
         (C[:1], P[:1], [("c1", "p1", 0.5)], {}, [("c1", None, "new"), (None, "p1", "disappeared")]),
         (C, P, [("c1", "p1", 0.9), ("c1", "p2", 0.1), ("c2", "p1", 0.1), ("c2", "p2", 0.1)], {}, [("c1", "p1", "matched"), ("c2", None, "new"), (None, "p2", "disappeared")]),
         (C[:1], [("p1", "a", 10.0, 20.0, FUTURE)], [("c1", "p1", 0.9)], {}, [("c1", None, "new")]),
-        (C[:1], P[:1], [], {"fixed": ["A"]}, [("c1", "p1", "matched")]),
-        (C[:1], [("p1", "a", 10.1, 20.0, PAST)], [], {"fixed": ["a"]}, [("c1", None, "new"), (None, "p1", "disappeared")]),
+        (C[:1], P[:1], [], {"fixed": ["A"], "box": (0.0, 50.0, 0.0, 50.0)}, [("c1", "p1", "matched")]),
+        (C[:1], P[:1], [], {"fixed": ["A"]}, [("c1", None, "new"), (None, "p1", "disappeared")]),
+        (C[:1], [("p1", "a", 10.1, 20.0, PAST)], [], {"fixed": ["a"], "box": (0.0, 50.0, 0.0, 50.0)}, [("c1", None, "new"), (None, "p1", "disappeared")]),
         (C[:1], P[1:], [], {"box": (0.0, 1.0, 0.0, 1.0)}, [("c1", None, "past_not_included"), (None, "p2", "current_not_included")]),
     ],
 )
@@ -89,7 +90,7 @@ def test_slack_for_late_rows_leaves_the_order_of_frames(spark):
 
 
 def test_fixed_labels_change_by_similarity(spark):
-    rows = lambda side, t: spark.createDataFrame([("p", f"{side}{i}", c, 10.0 + i, 20.0, t, t, *(None,) * 4) for i, c in enumerate(("pier", "pier", "pier", "pier", "ship"))], SEEN)
+    rows = lambda side, t: spark.createDataFrame([("p", f"{side}{i}", c, 10.0 + i, 20.0, t, t, 0.0, 50.0, 0.0, 50.0) for i, c in enumerate(("pier", "pier", "pier", "pier", "ship"))], SEEN)
     scored = spark.createDataFrame([("p", "c4", "p4", 0.9)], SCORED)
     alike = spark.createDataFrame([("p", "c0", "p0", 0.2), ("p", "c1", "p1", 0.9), ("p", "c2", "p2", None), ("p", "c4", "p4", 0.1)], "pair_id string, left_id string, right_id string, similarity double")
     got = lambda **kw: {r["current_id"]: r["status"] for r in link_frames(rows("c", NOW), rows("p", PAST), scored, ["pier"], **kw).collect()}
@@ -186,3 +187,18 @@ def test_tiles_cover_the_frame(spark):
     a = [r for r in got if r["frame_id"] == "a"]
     assert {(r["x1"], r["x2"]) for r in a} == {(0, 256), (192, 448), (244, 500)} and {(r["y1"], r["y2"]) for r in a} == {(0, 200)}
     assert len(a) == 3 and [tuple(r) for r in got if r["frame_id"] == "c"] == [("c", 0, 0, 256, 256)]
+
+
+def test_links_keep_one_of_each_side(spark):
+    rows = [("p", "c1", "o1", "matched", 0.9), ("p", "c1", None, "new", None), ("p", None, "o1", "disappeared", None), ("q", "c1", None, "new", None), ("p", None, None, "new", None), ("p", "c2", "o1", "matched", 0.8)]
+    got = dedup_links(spark.createDataFrame(rows, "pair_id string, current_id string, past_id string, status string, score double")).collect()
+    assert key((r["pair_id"], r["current_id"], r["past_id"]) for r in got) == key([("p", "c1", "o1"), ("q", "c1", None), ("p", None, None)])
+
+
+def test_a_second_look_makes_the_missing_side_up(spark):
+    links = spark.createDataFrame([("p", "c1", None, "new", None), ("p", None, "o1", "disappeared", None), ("p", "c2", None, "new", None), ("p", "c3", "o3", "changed", 1.0), ("p", "c4", None, "past_not_included", None)], "pair_id string, current_id string, past_id string, status string, score double")
+    seen = spark.createDataFrame([("p", "c1", 0.5), ("p", "c1", 0.2), ("p", "o1", 0.7), ("p", "c2", 0.4), ("p", "c3", 0.9), ("p", "c4", 0.9), ("p", "c2", None)], "pair_id string, obs_id string, similarity double")
+    got = {r["current_id"] if not (r["current_id"] or "").startswith("synthetic-") else r["past_id"]: r for r in cross_check(links, seen).collect()}
+    assert {k: (r["status"], r["synthetic"]) for k, r in got.items()} == {"c1": ("matched", True), "o1": ("matched", True), "c2": ("new", False), "c3": ("changed", False), "c4": ("past_not_included", False)}
+    assert got["c1"]["past_id"] != got["o1"]["current_id"] and got["c1"]["score"] == 0.5
+    assert cross_check(links.limit(0), seen).count() == 0 and cross_check(links, seen.limit(0)).where("synthetic").count() == 0
