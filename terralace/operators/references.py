@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terralace.functions.keys import OUTER_BLANKS, hex_block, uuid_hex
-from terralace.sources.tables import month_of
+from terralace.sources.tables import month_of, written
 
 
 def distinct_keys(parents: DataFrame) -> DataFrame:
@@ -40,12 +40,14 @@ def key_runs(keys: DataFrame) -> DataFrame:
     )
 
 
-def match_as_of(wanted: DataFrame, keys: DataFrame) -> DataFrame:
+def match_as_of(wanted: DataFrame, keys: DataFrame, bad_only: bool = False) -> DataFrame:
     """Match each distinct reference (parent_table, digits, first_use) to the run that starts at or before it.
 
     Adds ``found`` (the key doesn't lie beyond the end of that run) and ``arrived``: its parent's first arrival, or null
     where nothing of the run arrived after the first use. References carry no more of a run than its ends and its
     latest arrival; only where that is too late for a reference, and the run has several keys, is the key itself looked up.
+    ``bad_only``: leave out what is found in a run without a late arrival. The few others are written, so that looking
+    them up costs nothing where there is nothing to look up.
     """
     block, offset = hex_block(F.col("digits"))
     run = F.struct("run_start", "run_end", "latest")
@@ -64,6 +66,10 @@ def match_as_of(wanted: DataFrame, keys: DataFrame) -> DataFrame:
         F.coalesce(F.col("offset") <= F.col("run.run_end"), F.lit(False)).alias("found"),
         F.when(late, F.col("run.latest")).alias("latest"), (F.col("run.run_start") == F.col("run.run_end")).alias("single"),
     ).withColumn("open", F.coalesce(F.col("found") & ~F.col("single") & F.col("latest").isNotNull(), F.lit(False)))
+    if bad_only:
+        seen = written(seen.where("NOT found OR latest IS NOT NULL"), "bad-references")
+        if seen.where("open").isEmpty():
+            return seen.select("parent_table", "digits", "first_use", "found", F.when(F.col("found"), F.col("latest")).alias("arrived"))
     settled = seen.where("NOT open").withColumn("arrived", F.when(F.col("found"), F.col("latest")))
     looked_up = seen.where("open").join(keys, ["parent_table", "block", "offset"])
     looked_up = looked_up.withColumn("arrived", F.when(F.col("arrived") > F.col("first_use"), F.col("arrived")))
@@ -88,7 +94,7 @@ def orphans(references: DataFrame, parents: DataFrame, deleted: DataFrame) -> Da
     keyed = given.where(F.col("digits").isNotNull())
     wanted = keyed.groupBy("parent_table", "digits").agg(F.min("used_at").alias("first_use"))
     known = parents.select("parent_table", uuid_hex(F.col("id")).alias("digits"), "arrived")
-    verdicts = match_as_of(wanted, distinct_keys(known)).where("NOT found OR arrived > first_use")
+    verdicts = match_as_of(wanted, distinct_keys(known), bad_only=True).where("NOT found OR arrived > first_use")
     gone = deleted.select("parent_table", uuid_hex(F.col("id")).alias("digits"), F.lit(True).alias("gone")).distinct()
     verdicts = verdicts.join(gone, ["parent_table", "digits"], "left").select(
         "parent_table", "digits", "arrived",
