@@ -14,12 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralace.llm.leakage import Hashes
-from terralace.llm.words import passages
+from terralace.llm.words import passage_hashes
 from terralace.sources.tables import spread, written
 
 #: Labelled documents that seeds are learnt from, at most (those with the smallest hashes of their ids).
@@ -38,24 +38,37 @@ PRIOR = 1.0
 LEAST_TERMS, LEAST_SHARE = 2.0, 0.4
 #: Sums of terms that a task keeps before it hands them on.
 KEPT_SUMS = 1_000_000
+#: Bytes of text that are cut into terms at a time, and terms whose mixtures are fitted at a time; a longer text or passage is taken whole.
+TEXT_AT_ONCE, TERMS_AT_ONCE = 1 << 20, 1 << 13
+
+
+def _lists(sizes: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    """A column of lists of these sizes, that follow each other in ``values``."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(values))
 
 
 def passage_terms(documents: DataFrame) -> DataFrame:
     """The matrix: doc_id, lang, terms (hashes, passage by passage), ends (of the passages). No row without a term."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, lang, text in zip(batch["doc_id"], batch["lang"], batch["text"]):
-                found = passages(text)
-                if found:
-                    out.append((doc, lang, hashes.of(found).view(np.int64), np.cumsum([len(p) for p in found])))
-            yield pd.DataFrame(out, columns=["doc_id", "lang", "terms", "ends"])
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            edges = np.flatnonzero(np.diff(size // TEXT_AT_ONCE, prepend=-1, append=-1)).tolist()
+            for at, to in zip(edges[:-1], edges[1:]):
+                part = batch.slice(at, to - at)
+                hashes, n_words, n_passages = passage_hashes(part.column("text").to_pylist())
+                upto = np.concatenate(([0], np.cumsum(n_words)))
+                begin, end = upto[np.cumsum(n_passages) - n_passages], upto[np.cumsum(n_passages)]
+                rows = np.flatnonzero(n_passages)
+                ends = (upto[1:] - np.repeat(begin, n_passages)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(rows)), part.column("lang").take(pa.array(rows)), _lists((end - begin)[rows], hashes.view(np.int64)), _lists(n_passages[rows], ends)],
+                    ["doc_id", "lang", "terms", "ends"],
+                )
 
     texts = spread(documents.select("doc_id", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), "text"), "doc_id")
-    return texts.mapInPandas(scan, f"doc_id {kind}, lang string, terms array<long>, ends array<int>")
+    return texts.mapInArrow(scan, f"doc_id {kind}, lang string, terms array<long>, ends array<int>")
 
 
 def tied(seen: DataFrame, met: DataFrame, base: DataFrame, least: float, deviations: float = LEAST_DEVIATIONS, purity: float = 0.0) -> DataFrame:
@@ -114,36 +127,51 @@ class Components:
             tie[np.searchsorted(self.terms, [r["term"] for r in rows]), [place[r["subject"]] for r in rows]] = [r["tie"] for r in rows]
         tie /= np.maximum(tie.sum(1, keepdims=True), 1e-9)
         self.prior = tie / np.maximum(tie.sum(0), 1e-9)
+        self.bits = np.zeros(1 << (16 * len(self.terms)).bit_length(), bool)  # by the last bits of the terms
+        self.bits[self.terms & (len(self.bits) - 1)] = True
 
     def numbers(self, terms: np.ndarray) -> np.ndarray:
         """The places of term hashes, -1 for those in no component."""
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, at, -1)
+        out = np.full(len(terms), -1)
+        may = np.flatnonzero(self.bits[terms & (len(self.bits) - 1)])  # most terms end here
+        at = np.minimum(np.searchsorted(self.terms, terms[may]), len(self.terms) - 1)
+        out[may] = np.where(self.terms[at] == terms[may], at, -1)
+        return out
 
 
-def _stacked(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, first term of each passage, row of each passage) of a batch."""
-    lengths = np.array([len(t) for t in batch["terms"]])
-    offsets = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    ends = np.concatenate([np.asarray(e, np.int64) + o for e, o in zip(batch["ends"], offsets)])
-    owner = np.repeat(np.arange(len(batch)), [len(e) for e in batch["ends"]])
-    return np.concatenate(list(batch["terms"])), np.concatenate(([0], ends[:-1])), owner
+def _stacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, first term of each passage, passage of each term, row of each passage) of a batch."""
+    lengths = batch.column("terms").value_lengths().to_numpy()
+    passages = batch.column("ends").value_lengths().to_numpy()
+    ends = batch.column("ends").flatten().to_numpy() + np.repeat(np.cumsum(lengths, dtype=np.int64) - lengths, passages)
+    terms, starts = batch.column("terms").flatten().to_numpy(), np.concatenate(([0], ends))[:-1]
+    return terms, starts, np.repeat(np.arange(len(starts)), ends - starts), np.repeat(np.arange(batch.num_rows), passages)
 
 
 def mixtures(terms: np.ndarray, starts: np.ndarray, parts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Fit the mixtures of passages for fixed components: (terms of each subject by passage, shares of each term).
 
-    ``parts``: term x subject. Multiplicative updates that keep all numbers non-negative.
+    ``parts``: term x subject. Multiplicative updates that keep all numbers non-negative. Passages don't depend on each
+    other, so that blocks of them that a cache holds are fitted one after the other.
     """
-    sizes = np.diff(np.concatenate((starts, [len(terms)])))
-    w = np.full((len(starts), parts.shape[1]), 1 / parts.shape[1], np.float32)
-    held = parts[terms]
-    for _ in range(rounds):
-        q = np.repeat(w, sizes, 0) * held
-        q /= q.sum(1, keepdims=True) + 1e-12
-        mass = np.add.reduceat(q, starts, 0)
-        w = (mass + 0.01) / (sizes[:, None] + 0.01 * parts.shape[1])
-    return mass, q
+    n_subjects = parts.shape[1]
+    columns = np.ascontiguousarray(parts.T)
+    mass, q = np.empty((n_subjects, len(starts))), np.empty((n_subjects, len(terms)))
+    edges = np.flatnonzero(np.diff(starts // TERMS_AT_ONCE, prepend=-1, append=-1))
+    bounds = np.concatenate((starts, [len(terms)]))
+    for at, to in zip(edges[:-1], edges[1:]):
+        begin, end = bounds[at], bounds[to]
+        first, sizes = starts[at:to] - begin, np.diff(bounds[at : to + 1])
+        held = columns.take(terms[begin:end], 1)
+        w = np.full((n_subjects, to - at), 1 / n_subjects, np.float32)
+        for _ in range(rounds):
+            share = np.repeat(w, sizes, 1)
+            share *= held
+            share /= share.sum(0) + 1e-12
+            m = np.add.reduceat(share, first, 1)
+            w = (m + 0.01) / (sizes + 0.01 * n_subjects)
+        mass[:, at:to], q[:, begin:end] = m, share
+    return mass.T, q.T
 
 
 def _about(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,7 +189,7 @@ def widened(matrix: DataFrame, first: Components, subjects: list[str]) -> DataFr
     parts = (first.prior + 1e-9).astype(np.float32)
     n_subjects = len(subjects)
 
-    def update(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def summed(lang: str) -> tuple[np.ndarray, np.ndarray]:
@@ -169,30 +197,35 @@ def widened(matrix: DataFrame, first: Components, subjects: list[str]) -> DataFr
             mass = np.concatenate([m for _, m in kept[lang]])
             return terms, np.stack([np.bincount(back, mass[:, s], len(terms)) for s in range(n_subjects + 1)], 1)
 
-        def rows(lang: str, terms: np.ndarray, mass: np.ndarray) -> pd.DataFrame:
+        def rows(lang: str, terms: np.ndarray, mass: np.ndarray) -> pa.RecordBatch:
             t, s = np.nonzero(mass)
-            return pd.DataFrame({"lang": lang, "term": terms[t], "part": s, "weight": mass[t, s]})
+            return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(t), pa.string()), "term": terms[t], "part": s.astype(np.int32), "weight": mass[t, s]})
 
         for whole in batches:
-            for lang, batch in whole.groupby("lang", sort=False):
-                terms, starts, _ = _stacked(batch)
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(terms)]))))
-                number = first.numbers(terms)
+            for lang in whole.column("lang").unique().to_pylist():
+                batch = whole.filter(pc.equal(whole.column("lang"), lang))
+                terms, starts, passage, _ = _stacked(batch)
+                coded = pa.array(terms).dictionary_encode()
+                distinct, place = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+                number = first.numbers(distinct)[place]
                 known = number >= 0
-                given = np.zeros((len(starts), n_subjects + 1))  # the last column: met at all
-                given[:, -1] = 1
+                # a term that a passage repeats counts once
+                bits = len(starts).bit_length()
+                pairs = np.sort((place << bits) | passage)
+                pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
+                t, p = pairs >> bits, pairs & ((1 << bits) - 1)
+                given = np.zeros((len(distinct), n_subjects + 1))  # the last column: met at all
+                given[:, -1] = np.bincount(t, minlength=len(distinct))
                 if known.any():
                     held, begin = np.unique(passage[known], return_index=True)
                     mass, _ = mixtures(number[known], begin, parts, INNER)
                     about, share = _about(mass)
-                    given[held, :-1] = np.where(about, share, 0)
-                # a term that a passage repeats counts once
-                order = np.lexsort((passage, terms))
-                t, p = terms[order], passage[order]
-                fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])))
-                t, p = t[fresh], p[fresh]
-                edges = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-                kept.setdefault(lang, []).append((t[edges], np.add.reduceat(given[p], edges, 0)))
+                    for s in np.flatnonzero(about.any(0)):
+                        shares = np.zeros(len(starts))
+                        shares[held[about[:, s]]] = share[about[:, s], s]
+                        some = shares[p] > 0
+                        given[:, s] = np.bincount(t[some], shares[p[some]], len(distinct))
+                kept.setdefault(lang, []).append((distinct, given))
             for lang in list(kept):
                 if len(kept[lang]) > 8:
                     kept[lang] = [summed(lang)]
@@ -201,7 +234,7 @@ def widened(matrix: DataFrame, first: Components, subjects: list[str]) -> DataFr
         for lang in kept:
             yield rows(lang, *summed(lang))
 
-    sums = matrix.select("lang", "terms", "ends").mapInPandas(update, "lang string, term long, part int, weight double")
+    sums = matrix.select("lang", "terms", "ends").mapInArrow(update, "lang string, term long, part int, weight double")
     sums = written(sums.groupBy("lang", "term", "part").agg(F.sum("weight").alias("weight")), "term-sums")
     names = F.array(*[F.lit(s) for s in subjects])
     met = sums.where(F.col("part") == n_subjects).select("lang", "term", "weight")
@@ -218,24 +251,23 @@ def compact(matrix: DataFrame, found: Components) -> DataFrame:
     """The matrix over the terms of the components only: doc_id, terms (their places), ends."""
     kind = matrix.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            terms, starts, owner = _stacked(batch)
+            terms, _, passage, owner = _stacked(batch)
             number = found.numbers(terms)
-            passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(terms)]))))
-            held, sizes = np.unique(passage[number >= 0], return_counts=True)
-            docs = owner[held]
-            number = number[number >= 0].astype(np.int32)
-            rows, first = np.unique(docs, return_index=True)
-            ends = np.cumsum(sizes)
-            upto = np.concatenate((first[1:], [len(held)]))
-            begin = ends[first] - sizes[first] if len(rows) else ends
-            out = [(number[b : ends[u - 1]], ends[f:u] - b) for b, f, u in zip(begin, first, upto)] if len(rows) else []
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[rows], "terms": [t for t, _ in out], "ends": [e for _, e in out]})
+            known = number >= 0
+            sizes = np.bincount(passage[known], minlength=len(owner))  # terms that are left, by passage
+            held = sizes > 0
+            n_terms = np.bincount(owner, sizes, batch.num_rows).astype(np.int64)
+            n_passages = np.bincount(owner[held], minlength=batch.num_rows)
+            rows = np.flatnonzero(n_passages)
+            ends = np.cumsum(sizes[held]) - np.repeat(np.cumsum(n_terms) - n_terms, n_passages)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(rows)), _lists(n_terms[rows], number[known].astype(np.int32)), _lists(n_passages[rows], ends.astype(np.int32))],
+                ["doc_id", "terms", "ends"],
+            )
 
-    return matrix.select("doc_id", "terms", "ends").mapInPandas(cut, f"doc_id {kind}, terms array<int>, ends array<int>")
+    return matrix.select("doc_id", "terms", "ends").mapInArrow(cut, f"doc_id {kind}, terms array<int>, ends array<int>")
 
 
 def fit(matrix: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -245,22 +277,21 @@ def fit(matrix: DataFrame, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarra
     for _ in range(rounds):
         now = parts.astype(np.float32) + np.float32(1e-9)
 
-        def update(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
+        def update(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
             total = np.zeros((n_terms, n_subjects))
             for batch in batches:
-                if len(batch):
-                    terms, starts, _ = _stacked(batch)
+                if batch.num_rows:
+                    terms, starts, passage, _ = _stacked(batch)
                     _, q = mixtures(terms, starts, now, INNER)
                     # a term that a passage repeats counts once, so that no long text bends a component
-                    passage = np.repeat(np.arange(len(starts)), np.diff(np.concatenate((starts, [len(terms)]))))
                     _, place, times = np.unique(passage * n_terms + terms, return_inverse=True, return_counts=True)
-                    q /= times[place][:, None]
+                    once = 1 / times[place]
                     for s in range(n_subjects):
-                        total[:, s] += np.bincount(terms, q[:, s], n_terms)
+                        total[:, s] += np.bincount(terms, q[:, s] * once, n_terms)
             t, s = np.nonzero(total)
-            yield pd.DataFrame({"term": t, "part": s, "mass": total[t, s]})
+            yield pa.RecordBatch.from_pydict({"term": t.astype(np.int32), "part": s.astype(np.int32), "mass": total[t, s]})
 
-        sums = matrix.select("terms", "ends").mapInPandas(update, "term int, part int, mass double")
+        sums = matrix.select("terms", "ends").mapInArrow(update, "term int, part int, mass double")
         # the components themselves: one row per term and subject
         rows = sums.groupBy("term", "part").agg(F.sum("mass").alias("mass")).toPandas()
         mass = np.zeros((n_terms, n_subjects))
@@ -282,23 +313,25 @@ def assign(matrix: DataFrame, parts: np.ndarray, subjects: list[str]) -> DataFra
     kind = matrix.schema["doc_id"].dataType.simpleString()
     now = parts.astype(np.float32) + np.float32(1e-9)
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(subjects, pa.string())
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            terms, starts, owner = _stacked(batch)
+            terms, starts, _, owner = _stacked(batch)
             mass, _ = mixtures(terms, starts, now, LAST)
             about, _ = _about(mass)
-            first = np.searchsorted(owner, np.arange(len(batch)))
+            first = np.searchsorted(owner, np.arange(batch.num_rows))
             whole = np.add.reduceat(mass, first, 0)
             any_about = np.logical_or.reduceat(about, first, 0)
             weight = whole / np.maximum(whole.sum(1, keepdims=True), 1e-9)
             d, s = np.nonzero((whole >= 0.1) | any_about)
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].to_numpy()[d], "subject": np.array(subjects, object)[s], "weight": weight[d, s].astype(float), "about": any_about[d, s]}
-            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(d)), names.take(pa.array(s)), pa.array(weight[d, s]), pa.array(any_about[d, s])],
+                ["doc_id", "subject", "weight", "about"],
+            )
 
-    return matrix.mapInPandas(judge, f"doc_id {kind}, subject string, weight double, about boolean")
+    return matrix.mapInArrow(judge, f"doc_id {kind}, subject string, weight double, about boolean")
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> DataFrame:
